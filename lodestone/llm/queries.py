@@ -23,12 +23,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = secrets.scan(docs, secrets.fit(docs)).drop("text")
 
-    def joined(kinds: str | None = None):
-        chosen = F.col("secret_spans") if kinds is None else F.filter("secret_spans", lambda s: s["kind"] != kinds)
+    def joined(base_only: bool):
+        chosen = F.filter("secret_spans", lambda s: s["kind"] != "crf") if base_only else F.col("secret_spans")
         return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
-    return spans.select("doc_id", *counts, F.sha2(joined("crf"), 256).alias("base_sha256"), joined().alias("spans"))
+    def count(kind: str):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.KINDS[:3]]
+    return spans.select("doc_id", *counts, F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def write(pages: DataFrame, uri: str, payload: str = "html", key: str = "page_id
         if out:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("shard", pa.string()), ("attempt", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    manifest = materialize(ranged.mapInArrow(run, _MANIFEST).coalesce(4))
+    manifest = materialize(ranged.mapInArrow(run, _MANIFEST))
     store, root = _store(uri)
     store.create_dir(root, recursive=True)
     # Files, not records: at 100 TB and a GB each, a hundred thousand rows.
