@@ -61,19 +61,13 @@ def member(raw: bytes) -> bytes:
 
 
 def revisits(pages: DataFrame, payload: str = "html", key: str = "page_id", least: int = 100) -> DataFrame:
-    """Adds payload_bytes, payload_digest and refers_to (the smallest key with an equal payload, for all other rows).
-
-    Digests are grouped with map-side combine, so a payload on a third of all pages costs no task more; only payloads
-    on several pages are joined back, on key and digest.
-    """
+    """Key, digest and first key (refers_to) of each page that revisits another: the smallest key with an equal payload
+    is the response. Only digests move: they are grouped with map-side combine, and joined back on the digest where
+    Spark can split a digest that many pages share."""
     body = F.encode(text_of(payload), "UTF-8")
-    digests = pages.select(key, F.sha2(body, 256).alias("_digest"), F.octet_length(body).alias("_bytes")).where(F.col("_bytes") >= least)
-    groups = digests.groupBy("_digest").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    marked = pages.select("*", F.sha2(body, 256).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    long_ = marked.where(F.col("payload_bytes") >= least).join(groups, F.col("payload_digest") == F.col("_digest"), "left")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first")), F.col("_first"))
-    short = marked.where(F.col("payload_bytes") < least).withColumn("refers_to", F.lit(None).cast(dict(pages.dtypes)[key]))
-    return long_.withColumn("refers_to", refers).drop("_digest", "_first").unionByName(short)
+    digests = pages.where(F.octet_length(body) >= least).select(F.col(key).alias("page_id"), F.sha2(body, 256).alias("payload_digest"))
+    groups = digests.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return digests.join(groups, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, uri: str, payload: str = "html", key: str = "page_id", url: str = "url", roll_bytes: int = 32 << 20, task_bytes: int = 64 << 20, least: int = 100) -> DataFrame:
@@ -87,16 +81,19 @@ def write(pages: DataFrame, uri: str, payload: str = "html", key: str = "page_id
     """
     spark = pages.sparkSession
     narrow = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"))
-    rows = revisits(narrow, "html", "page_id", least).select("page_id", "url", "html", "refers_to", "payload_digest")
+    # Pages move once, into ranges of keys; which of them are revisits comes as marks that sort just before the page.
+    body = F.encode(text_of("html"), "UTF-8")
+    marks = revisits(narrow, "html", "page_id", least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to", "payload_digest", F.lit(True).alias("mark"))
+    rows = narrow.select("*", F.lit(None).cast("long").alias("refers_to"), F.sha2(body, 256).alias("payload_digest"), F.lit(False).alias("mark")).unionByName(marks)
     total = narrow.agg(F.sum(F.octet_length("html"))).head()[0] or 0
-    ranged = rows.repartitionByRange(tasks_for(spark, total, task_bytes), "page_id", "payload_digest").sortWithinPartitions("page_id", "payload_digest", "url")
+    ranged = rows.repartitionByRange(tasks_for(spark, total, task_bytes), "page_id", "payload_digest").sortWithinPartitions("page_id", "payload_digest", F.desc("mark"), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context, (store, root) = TaskContext.get(), _store(uri)
         store.create_dir(f"{root}/_temporary", recursive=True)
-        part, attempt, count, out, rows, sink, digest = context.partitionId(), uuid.uuid4().hex, 0, [], None, None, None
+        part, attempt, count, out, rows, sink, digest, marked = context.partitionId(), uuid.uuid4().hex, 0, [], None, None, None, None
 
         def close() -> None:
             sink.close()
@@ -104,7 +101,11 @@ def write(pages: DataFrame, uri: str, payload: str = "html", key: str = "page_id
 
         for batch in batches:
             for x in range(batch.num_rows):
-                page, address, html, refers = (batch.column(k)[x].as_py() for k in range(4))
+                page, address, html, refers, payload_digest, mark = (batch.column(k)[x].as_py() for k in range(6))
+                if mark:
+                    marked = (page, payload_digest, refers)
+                    continue
+                refers = marked[2] if marked and marked[:2] == (page, payload_digest) else None
                 if sink is None:
                     sink, digest, rows = store.open_output_stream(f"{root}/_temporary/part-{part:06}-{count:05}-{attempt}", compression=None), hashlib.sha256(), [page, page, 0, 0]
                 raw = member(record(page, address, (html or "").encode(), refers, refers is not None))
