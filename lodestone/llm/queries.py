@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, secrets, warc, winnowing
+from . import jaccard, mixing, packing, quality, secrets, suffix_tree, warc, winnowing
 from .common import materialize, read_table, text_of
 
 
@@ -53,8 +53,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, forest)
 
 
+def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op3_pack, op4_jaccard, op5_secrets, op6_fingerprints, op8_warc, op9_quality)}
+    return {f.__name__: f for f in (op1_mix, op3_pack, op4_jaccard, op5_secrets, op6_fingerprints, op8_warc, op9_quality, op10_score)}
 
 
 ORACLE_SQL = {
