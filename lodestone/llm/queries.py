@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, secrets, suffix_tree, warc, winnowing
+from . import jaccard, mixing, packing, quality, secrets, suffix_dedup, suffix_tree, warc, winnowing
 from .common import materialize, read_table, text_of
 
 
@@ -15,6 +15,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size="n_words").select("doc_id", "mix.*")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op3_pack, op4_jaccard, op5_secrets, op6_fingerprints, op8_warc, op9_quality, op10_score)}
+    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_pack, op4_jaccard, op5_secrets, op6_fingerprints, op8_warc, op9_quality, op10_score)}
 
 
 ORACLE_SQL = {
