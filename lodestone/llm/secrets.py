@@ -343,8 +343,11 @@ def training_sequences(texts: list[str], sequences: int = 1500, width: int = 24,
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 200, sequences: int = 1500, seed: int = 5) -> Crf:
     """Trains the field on sequences drawn from `sample` documents (a bound on rows; those with the smallest seeded
     hashes of their key) and from seeded synthetic secrets. An empty table trains on drawn words alone."""
-    rows = docs.select(F.substring(text, 1, 20000).alias("t")).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.xxhash64(text)).limit(sample)
-    texts = [r.t for r in rows.collect()]
+    # Keys first: at most `sample` of them are broadcast, and only their texts are fetched.
+    keys = docs.select(F.col(key).alias("_key")).distinct().orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(sample)
+    keys = docs.sparkSession.createDataFrame(keys.toArrow())
+    found = docs.join(F.broadcast(keys), F.col(key) == F.col("_key")).groupBy("_key").agg(F.min(F.substring(text, 1, 20000)).alias("t"))
+    texts = [r.t for r in found.orderBy("_key").collect()]
     return fit_crf(*training_sequences(texts, sequences, seed=seed))
 
 
