@@ -44,68 +44,227 @@ def farthest(size: np.ndarray, percent: int) -> np.ndarray:
     return ((100 - percent) * both) // (100 + percent)
 
 
-def signatures(value: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of which two linked sets always share one; and the offsets of each set in them.
-
-    Sets of like size split the universe of shingles into the same parts, by hash. Two linked sets differ in at most
-    d = farthest() elements, hence in d parts at most, so among the first d + 1 parts that hold elements of a set one is
-    equal in both. The hash of such a part is a signature: a whole part must be equal, so a passage or shingle that many
-    documents share makes no group by itself. Sizes are levelled by powers of 2; a set whose partners may lie on the
-    next level has signatures for that level too. A set with fewer than d + 1 filled parts adds one for "sparse".
+#: Members of a region that are compared all with all in one step; larger regions are cut by pivots.
+CELL = 2048
+#: Members of a region in one task; larger regions are dealt into pairs of blocks.
+BLOCK = 20000
+
+
+def level_of(size: np.ndarray) -> np.ndarray:
+    """Sizes 1, 2, 3-4, 5-8, ... are levels 0, 1, 2, 3, ..."""
+    return np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+
+
+def parts_of(level: np.ndarray, percent: int) -> np.ndarray:
+    """Number of parts on a level: a quarter more than the most differences of a set on it, so that few stay empty."""
+    return (5 * farthest(np.left_shift(1, level), percent)) // 4 + 4
+
+
+def sketches(value: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sketches of sets, and the signatures among them of which two linked sets always share one.
+
+    Sets of like size split the universe of shingles into the same parts, by hash; a sketch holds a hash of each part
+    (0: empty). Two linked sets differ in at most d = farthest() elements, hence in d parts at most, so among the first
+    d + 1 filled parts of a set one is equal in both: these are its signatures. A whole part must be equal, so a passage
+    or a shingle that many documents share makes no group by itself. Sizes are levelled by powers of 2; a set whose
+    partners may lie on the next level has a sketch for that level too. Sets with fewer than d + 1 filled parts have one
+    more signature, "sparse", of part -1.
+
+    Yields per level rule: rows, their levels, offsets into the sketches, the sketches, and signatures' row and part.
     """
     size = np.diff(starts)
     rows = len(size)
-    level = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
-    out_row, out_value = [], []
+    level = level_of(size)
     for extra in (0, 1):
         chosen = size > 0 if not extra else (size > 0) & ((100 * size) // percent > np.left_shift(1, level))
         if not chosen.any():
             continue
+        who = np.flatnonzero(chosen)
         at = level + extra
-        parts = (5 * farthest(np.left_shift(1, at), percent)) // 4 + 4
+        parts = np.where(chosen, parts_of(at, percent), 0)
+        bounds = np.concatenate(([0], np.cumsum(parts)))
         row = np.repeat(np.arange(rows), size)
         keep = chosen[row]
         row, v = row[keep], value[keep]
         salt = mix(at[row].astype(np.uint64) + np.uint64(1000))
-        part = ((mix(v ^ salt) >> np.uint64(32)) * parts[row].astype(np.uint64)) >> np.uint64(32)
-        key = (row.astype(np.uint64) << np.uint64(32)) | part
-        order = np.argsort(key, kind="stable")
-        key, v = key[order], v[order]
-        first = runs(key)
-        total = np.add.reduceat(mix(v), first) if len(first) else v
-        head = key[first]
-        owner = (head >> np.uint64(32)).astype(np.int64)
+        part = (((mix(v ^ salt) >> np.uint64(32)) * parts[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        place = bounds[row] + part
+        order = np.argsort(place, kind="stable")
+        place, v = place[order], v[order]
+        first = runs(place)
+        total = mix(np.add.reduceat(mix(v), first))
+        sketch = np.zeros(bounds[-1], np.uint64)
+        sketch[place[first]] = total | np.uint64(1)
+        owner = np.searchsorted(bounds, place[first], "right") - 1
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
         need = farthest(size, percent) + 1
-        signature = mix(total + mix((head & np.uint64(0xFFFFFFFF)) * np.uint64(64) + at[owner].astype(np.uint64)))
         used = rank < need[owner]
-        out_row.append(owner[used])
-        out_value.append(signature[used])
         sparse = np.flatnonzero(chosen & (np.bincount(owner, minlength=rows) < need))
-        out_row.append(sparse)
-        out_value.append(mix(at[sparse].astype(np.uint64) + np.uint64(77)))
-    row = np.concatenate(out_row) if out_row else np.zeros(0, np.int64)
-    value = np.concatenate(out_value) if out_value else np.zeros(0, np.uint64)
-    order = np.argsort(row, kind="stable")
-    return value[order], np.searchsorted(row[order], np.arange(rows + 1))
+        sig_row = np.concatenate((owner[used], sparse))
+        sig_part = np.concatenate((place[first][used] - bounds[owner[used]], np.full(len(sparse), -1)))
+        yield who, at, bounds, sketch, sig_row, sig_part
 
 
-def _sets(docs: DataFrame, text: str, key: str, n: int, percent: int | None) -> DataFrame:
-    """Per row: key, node (a hash of the whole set, null if empty), size, and signatures, or the set itself."""
+def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
+    """Per row and level: key, node, size, level, sketch (array<int>), and the signatures (array<long>) and parts (array<int>).
+    A row without shingles has one line with null node."""
     kind = docs.select(key).schema[0].dataType.simpleString()
+    names = [key, "node", "n", "level", "sketch", "signatures", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches, text, 2 << 20):
             value, starts = shingles(data, offsets, n)
-            raw = value.tobytes()
-            node = [int.from_bytes(hashlib.md5(raw[8 * a : 8 * b]).digest()[:8], "big", signed=True) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            size = np.diff(starts)
-            if percent is not None:
-                value, starts = signatures(value, starts, percent)
+            node, size, keys = _nodes(value, starts), np.diff(starts), batch.column(batch.schema.get_field_index(key))
+            empty = np.flatnonzero(size == 0)
+            if len(empty):
+                none = [pa.nulls(len(empty), t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(empty)), none[0], pa.array(size[empty], pa.int64()), *none[1:]], names=names)
+            for who, at, bounds, sketch, sig_row, sig_part in sketches(value, starts, percent):
+                order = np.argsort(sig_row, kind="stable")
+                sig_row, sig_part = sig_row[order], sig_part[order]
+                cell = sketch[np.maximum(bounds[sig_row] + sig_part, 0)]
+                cell[sig_part < 0] = 0
+                signature = mix(cell + mix((sig_part + 1).astype(np.uint64) * np.uint64(64) + at[sig_row].astype(np.uint64)))
+                sig_bounds = np.searchsorted(sig_row, np.append(who, len(size)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.take(pa.array(who)), pa.array([node[k] for k in who], pa.int64()), pa.array(size[who], pa.int64()), pa.array(at[who].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(np.append(bounds[who], bounds[-1]), pa.int32()), pa.array((sketch >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(sig_bounds, pa.int32()), pa.array(signature.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(sig_bounds, pa.int32()), pa.array(sig_part.astype(np.int32))),
+                    ],
+                    names=names,
+                )
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, level int, sketch array<int>, signatures array<long>, parts array<int>")
+
+
+def _nodes(value: np.ndarray, starts: np.ndarray) -> list[int | None]:
+    """A 64-bit hash of each whole set; none for an empty one."""
+    raw = value.tobytes()
+    return [int.from_bytes(hashlib.md5(raw[8 * a : 8 * b]).digest()[:8], "big", signed=True) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """Per row: node, size, and the set itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in steps(batches, text, 2 << 20):
+            value, starts = shingles(data, offsets, n)
             listed = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(node, pa.int64()), pa.array(size, pa.int64()), listed], names=[key, "node", "n", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(_nodes(value, starts), pa.int64()), pa.array(np.diff(starts), pa.int64()), listed], names=["node", "n", "items"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, items array<long>")
+    return docs.select(text).mapInArrow(run, "node long, n long, items array<long>")
+
+
+def near(sketch: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, differing parts) of sketches that may link, with i < j; each pair once at least.
+
+    The number of differing parts is a metric, and no more than the symmetric difference of the sets. A region of more
+    than CELL members is cut by pivots: each member goes to the cell of its nearest pivot, and to all cells whose pivot
+    is at most 2 d farther (d: the most differing parts of a linked pair), so that both ends of a pair meet in the
+    nearest cell of either. Cells join in the same way; one that does not shrink is compared in blocks.
+    """
+    count = len(sketch)
+    most = int(farthest(size, percent).max(initial=0))
+    if count > CELL and depth < 8:
+        pivots = np.linspace(0, count - 1, max(2, count // CELL * 2)).astype(int)
+        away = np.stack([(sketch != sketch[p]).sum(1) for p in pivots], 1)
+        inside = away <= away.min(1, keepdims=True) + 2 * most
+        if inside.sum() < 1.5 * count:
+            for k in range(len(pivots)):
+                cell = np.flatnonzero(inside[:, k])
+                for i, j, h in near(sketch[cell], size[cell], percent, depth + 1):
+                    yield cell[i], cell[j], h
+            return
+    step = max(1, (8 << 20) // max(1, count * sketch.shape[1] * 4))
+    for a in range(0, count, step):
+        block = sketch[a : a + step]
+        differ = (block[:, None, :] != sketch[None, :, :]).sum(2)
+        both = size[a : a + step, None] + size[None, :]
+        fits = (differ <= ((100 - percent) * both) // (100 + percent)) & (100 * np.minimum(size[a : a + step, None], size[None, :]) >= percent * np.maximum(size[a : a + step, None], size[None, :]))
+        fits &= np.arange(count)[None, :] > np.arange(a, min(a + step, count))[:, None]
+        i, j = np.nonzero(fits)
+        yield i + a, j, differ[i, j]
+
+
+def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of nodes to measure, from regions whose members stand together in a partition.
+
+    nearest: of each member only the pair with the nearest of the earlier ones. Otherwise all pairs of members with
+    different roots, each in the region of the first part that both share, so once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cells = held["cell"].to_numpy()
+            last = np.flatnonzero(cells != cells[-1])
+            if len(last):  # all but the last region, which may go on
+                yield one(held.slice(0, int(last[-1]) + 1))
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield one(held)
+
+    def one(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        cell, node, size, part, root, side = (table[c].to_numpy() for c in ("cell", "node", "n", "part", "root", "side"))
+        flat = table["sketch"].chunk(0) if table["sketch"].num_chunks else pa.array([], pa.list_(pa.int32()))
+        values, starts = flat.flatten().to_numpy(), np.concatenate(([0], np.cumsum(flat.value_lengths().to_numpy())))
+        heads = np.append(runs(cell), len(cell))
+        out_a, out_b = [], []
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            if b - a < 2:
+                continue
+            sketch = values[starts[a] : starts[b]].reshape(b - a, -1)
+            best = np.full(b - a, 1 << 30)
+            choice = np.full(b - a, -1)
+            for i, j, h in near(sketch, size[a:b], percent):
+                # In a pair of blocks, pairs within a block belong to the block's own cell.
+                across = (side[a + i] != side[a + j]) | (side[a] == side[a:b].max()) & (side[a] == side[a:b].min())
+                i, j, h = i[across], j[across], h[across]
+                if nearest:
+                    lower = np.lexsort((i, h, j))
+                    j, i, h = j[lower], i[lower], h[lower]
+                    top = runs(j)
+                    better = h[top] < best[j[top]]
+                    best[j[top][better]], choice[j[top][better]] = h[top][better], i[top][better]
+                    continue
+                apart = root[a + i] != root[a + j]
+                i, j = i[apart], j[apart]
+                if len(i):
+                    same = (sketch[i] == sketch[j]) & (sketch[i] != 0)
+                    lead = np.where(same.any(1), same.argmax(1), -1)
+                    own = lead == part[a]
+                    out_a.append(node[a + i[own]])
+                    out_b.append(node[a + j[own]])
+            if nearest:
+                got = np.flatnonzero(choice >= 0)
+                out_a.append(node[a + choice[got]])
+                out_b.append(node[a + got])
+        left = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+        right = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], names=["node", "pivot"])
+
+    return placed.mapInArrow(run, "node long, pivot long").distinct()
+
+
+def _place(members: DataFrame, lines: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members with their sketches and roots, a region to a cell; regions of more than BLOCK members are dealt into
+    cells of two blocks each, so no task holds more than two blocks of one region."""
+    if roots is not None:
+        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = rooted.groupBy("region").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("region")
+        members = rooted.join(open_, "region")
+    else:
+        members = members.withColumn("root", F.col("node"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    side = F.pmod(F.col("node"), blocks).cast("int")
+    mates = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("region", F.least(k, side), F.greatest(k, side)))
+    dealt = members.select("*", side.alias("side"), F.explode(mates).alias("cell"))
+    joined = dealt.join(lines.select("node", "level", "n", "sketch"), ["node", "level"])
+    return joined.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "n", "part", "root", "side", "sketch")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, percent: int = 85) -> DataFrame:
@@ -114,52 +273,45 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     Returns key, n_shingles, component_id (the smallest key that links reach; the own one without links).
 
     1. Documents with equal sets become one node; nodes are 64-bit hashes of sets of 64-bit shingle hashes.
-    2. Nodes that share a signature form a region, equal regions being one. Each node that links to another meets it in
-       a region, since signatures() loses none.
-    3. In each region the least node is the pivot, to which all others' distances are computed exactly. Nodes within
-       the threshold e are linked to it, and so to each other. By the triangle inequality a node at distance d > e can
-       link only to nodes at distances from d - e: the outer nodes, and the inner ones in that window, form the next
-       round's region, with an outer pivot. Rounds end when no region has outer nodes.
-    4. Links give components.
+    2. Nodes that share a signature form a region; equal regions are one. Linked nodes meet in a region, as sketches()
+       loses none.
+    3. Sketches live in a metric space in which linked nodes are near: regions find near pairs there, large ones by
+       pivots and windows (near()). First each node is measured against its nearest earlier one of each region; then,
+       among nodes that these links leave apart, all near pairs are. So a link is either measured or joins nodes that are
+       joined already, and groups of copies cost a few pairs for each copy.
+    4. Measuring takes whole sets, exactly; links give components.
 
     Null and empty texts link with nothing. Null keys never name a component unless all of its keys are null. Repeated
-    rows and further columns are harmless. Each round moves pairs of a node and a pivot, not all pairs of a region.
+    rows and further columns are harmless.
     """
-    table = materialize(_sets(docs, text, key, n, percent)).withColumnRenamed(key, "_key")
+    table = materialize(_levelled(docs, text, key, n, percent)).withColumnRenamed(key, "_key")
     filled = table.where("node is not null")
-    nodes = filled.groupBy("node").agg(F.min("_key").alias("_key"), F.first("items").alias("items"))
-    exploded = nodes.select("node", F.explode("items").alias("signature"))
+    one = filled.groupBy("node", "level").agg(F.min(F.struct("n", "sketch", "signatures", "parts")).alias("r"))
+    lines = materialize(one.select("node", "level", "r.*"))
+    exploded = lines.select("node", "level", F.explode(F.arrays_zip("signatures", "parts")).alias("s")).select("node", "level", F.col("s.signatures").alias("signature"), F.col("s.parts").alias("part"))
     group = Window.partitionBy("signature")
-    region = F.xxhash64(F.bit_xor("node").over(group), F.min("node").over(group), F.max("node").over(group), F.count("*").over(group))
-    grouped = exploded.select("node", region.alias("region"), F.count("*").over(group).alias("_n")).where("_n > 1")
-    members = materialize(grouped.select("region", "node").distinct())
-    # Sets of the nodes that meet others, from one document of each.
-    wanted = members.select("node").distinct().join(filled.groupBy("node").agg(F.min("_key").alias("_key")), "node")
-    source = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    rows = source.join(wanted.select("_key").distinct(), F.col("_doc").eqNullSafe(F.col("_key"))).select("_doc", "_text")
+    count = F.count("*").over(group)
+    region = F.xxhash64("level", F.bit_xor("node").over(group), F.min("node").over(group), F.max("node").over(group), count)
+    grouped = exploded.select("node", "level", "part", region.alias("region"), count.alias("members")).where("members > 1")
+    members = materialize(grouped.groupBy("region", "node", "level", "members").agg(F.min("part").alias("part")))
+    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    keys = filled.groupBy("node").agg(F.min("_key").alias("_key"))
+    wanted = members.select("node").distinct().join(keys, "node")
     # Keys may repeat with other texts: only the sets asked for are kept.
-    sets = _sets(rows, "_text", "_doc", n, None).select("node", "items", "n")
-    sets = materialize(sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links, known = None, None
-    while True:
-        pivoted = members.join(members.groupBy("region").agg(F.min("node").alias("pivot")), "region") if "pivot" not in members.columns else members
-        pairs = pivoted.where("node <> pivot").select("node", "pivot").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["node", "pivot"], "left_anti")
-        measured = materialize(_measure(pairs, sets, percent))
-        found = measured.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        known = measured if known is None else known.unionByName(measured)
-        members = _next_regions(pivoted, known, 1 - percent / 100)
-        members = materialize(members)
-        if members.isEmpty():
-            break
-    roots = components(links)
-    least = filled.groupBy("node").agg(F.min("_key").alias("_least"))
-    named = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("_least").alias("component_id"))
+    own = _sets(rows.join(wanted.select("_key").distinct(), F.col("_doc").eqNullSafe(F.col("_key"))).select("_text"), "_text", n)
+    sets = materialize(own.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    first = materialize(_measure(_candidates(_place(members, lines, None), percent, True), sets, percent))
+    roots = materialize(components(first.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
+    rest = _candidates(_place(members, lines, roots), percent, False).join(first, ["node", "pivot"], "left_anti")
+    second = materialize(_measure(rest, sets, percent))
+    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    roots = components(joined) if not second.where("linked").isEmpty() else roots
+    named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min("_key").alias("component_id"))
     classes = materialize(named.join(smallest, "root").select("node", "component_id"))
-    linked = table.where("node is not null").select("_key", "n", "node").join(classes, "node").select("_key", "n", "component_id")
+    # One line of each row: that of its own level, the lower of its levels.
+    own_level = filled.where(F.col("level") == F.length(F.bin(F.col("n") - 1)) * (F.col("n") > 1).cast("int"))
+    linked = own_level.select("_key", "n", "node").join(classes, "node").select("_key", "n", "component_id")
     alone = table.where("node is null").select("_key", "n", F.col("_key").alias("component_id"))
     return linked.unionByName(alone).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
@@ -172,16 +324,3 @@ def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = joined.select("node", "pivot", "_nx", "_ny", F.size(F.array_intersect("_x", "_y")).cast("long").alias("_s"))
     either = F.col("_nx") + F.col("_ny") - F.col("_s")
     return shared.select("node", "pivot", (1 - F.col("_s") / either).alias("d"), (100 * F.col("_s") >= percent * either).alias("linked"))
-
-
-def _next_regions(members: DataFrame, known: DataFrame, reach: float) -> DataFrame:
-    """Outer nodes of each region with the inner ones in their window, and the least outer node as the next pivot."""
-    far = members.where("node <> pivot").join(known, ["node", "pivot"])
-    outer = F.when(~F.col("linked"), F.col("d"))
-    edge = far.groupBy("region").agg(F.min(outer).alias("_edge"), F.min(F.when(~F.col("linked"), F.col("node"))).alias("_pivot"))
-    kept = far.join(edge.where("_edge is not null"), "region").where((~F.col("linked")) | (F.col("d") >= F.col("_edge") - reach - 1e-9))
-    # Regions that now agree in members and pivot are one; a region of one node is done.
-    group = Window.partitionBy("region")
-    renamed = F.xxhash64(F.bit_xor("node").over(group), F.min("node").over(group), F.max("node").over(group), F.col("_n"), F.col("_pivot"))
-    counted = kept.select("region", "node", "_pivot", F.count("*").over(group).alias("_n")).where("_n > 1")
-    return counted.select(renamed.alias("region"), "node", F.col("_pivot").alias("pivot")).distinct()
