@@ -64,7 +64,7 @@ def _find_runs(rows: DataFrame, length: int) -> DataFrame:
 
 def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted runs: body, own (a copy exists), shift (of the anchor), lead (bytes at it), bytes."""
-    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("low", "high", "anchor", "body", "own")).alias("asked"))
+    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("low", "high", "anchor", "body", "own", "classes")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches, "_text"):
@@ -74,9 +74,9 @@ def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             low, high, anchor = (parts.field(k).to_numpy() + offsets[row] for k in range(3))
             bodies = [raw[a : b + length] for a, b in zip(low, high, strict=True)]
             leads = [raw[a : a + LEAD] for a in anchor]
-            yield pa.RecordBatch.from_arrays([parts.field(3), parts.field(4), pa.array((anchor - low).astype(np.int32)), pa.array(leads, pa.binary()), pa.array(bodies, pa.binary())], names=["body", "own", "shift", "lead", "bytes"])
+            yield pa.RecordBatch.from_arrays([parts.field(3), parts.field(4), parts.field(5), pa.array((anchor - low).astype(np.int32)), pa.array(leads, pa.binary()), pa.array(bodies, pa.binary())], names=["body", "own", "classes", "shift", "lead", "bytes"])
 
-    return rows.select("rid", "_text").join(asked, "rid").select("_text", "asked").mapInArrow(run, "body long, own boolean, shift int, lead binary, bytes binary")
+    return rows.select("rid", "_text").join(asked, "rid").select("_text", "asked").mapInArrow(run, "body long, own boolean, classes long, shift int, lead binary, bytes binary")
 
 
 def sort_bucket(lead: np.ndarray, shift: np.ndarray, own: np.ndarray, starts: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -123,15 +123,15 @@ def sort_bucket(lead: np.ndarray, shift: np.ndarray, own: np.ndarray, starts: np
 
 def _sort(contents: DataFrame, length: int) -> DataFrame:
     """Repeats among the fetched strings. Ranges of (lead, bytes) come from Spark's sampled splitters; each is sorted on
-    its own. A lead that reaches a range's edge may go on in the next range: its distinct suffixes are also returned as
-    hashes (kind 1), to be compared across ranges."""
+    its own. A lead with more classes than its range holds goes on in the next range: its distinct suffixes are also
+    returned as hashes (kind 1), to be compared across ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
         table = table.combine_chunks()
-        body, own, shift = (table[c].to_numpy() for c in ("body", "own", "shift"))
+        body, own, shift, classes = (table[c].to_numpy() for c in ("body", "own", "shift", "classes"))
         leads = np.frombuffer(b"".join(table["lead"].to_pylist()), np.dtype((np.void, LEAD)))
         lead = np.concatenate(([0], np.cumsum(leads[1:] != leads[:-1])))
         strings = table["bytes"].to_pylist()
@@ -145,8 +145,8 @@ def _sort(contents: DataFrame, length: int) -> DataFrame:
         hit = done[cut]
         zero = np.zeros(int(hit.sum()), np.int64)
         yield _rows(0, body[record[cut[hit]]], place[cut[hit]], place[last[hit]], zero)
-        edge = (lead[record] == lead[0]) | (lead[record] == lead[-1])
-        at = np.flatnonzero(edge & first)
+        edge = np.bincount(lead)[lead] < classes
+        at = np.flatnonzero(edge[record] & first)
         hashes = range_hash(prefix_hash(data), starts[record[at]] + place[at], starts[record[at]] + place[at] + length)
         yield _rows(1, body[record[at]], place[at], place[at], hashes.view(np.int64))
 
@@ -171,9 +171,9 @@ def repeats(docs: DataFrame, length: int = 200, text: str = "text", key: str = "
     # Runs of equal bytes are one class, however many documents hold it.
     classes = candidates.groupBy("lead", "body").agg(F.count("*").alias("_n"), F.min(F.struct("rid", "low", "high", "anchor")).alias("one"))
     classes = materialize(classes)
-    several = classes.groupBy("lead").agg(F.count("*").alias("_c")).where("_c > 1").select("lead")
+    several = classes.groupBy("lead").agg(F.count("*").alias("classes")).where("classes > 1")
     whole = classes.where("_n > 1").select("body", F.lit(0).alias("first"), (F.col("one.high") - F.col("one.low")).alias("last"))
-    wanted = classes.join(several, "lead").select("one.*", "body", (F.col("_n") > 1).alias("own"))
+    wanted = classes.join(several, "lead").select("one.*", "body", (F.col("_n") > 1).alias("own"), "classes")
     contents = materialize(_fetch(rows, wanted, length))
     size = contents.agg(F.sum(F.octet_length("bytes"))).head()[0] or 0
     ranged = contents.repartitionByRange(tasks_for(spark, size, bucket_bytes), "lead", "bytes").sortWithinPartitions("lead", "bytes")
