@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, secrets, suffix_dedup, suffix_tree, warc, winnowing
+from . import compact_windows, jaccard, mixing, packing, quality, secrets, suffix_dedup, suffix_tree, warc, winnowing
 from .common import materialize, read_table, text_of
 
 
@@ -46,6 +46,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edited(read_table(spark, sf_dir, "documents"))
 
 
+def op7_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -62,7 +66,7 @@ def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_pack, op4_jaccard, op5_secrets, op6_fingerprints, op8_warc, op9_quality, op10_score)}
+    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_pack, op4_jaccard, op5_secrets, op6_fingerprints, op7_near_passages, op8_warc, op9_quality, op10_score)}
 
 
 ORACLE_SQL = {
