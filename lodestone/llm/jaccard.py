@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,10 +108,9 @@ def sketches(value: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[tu
 
 
 def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
-    """Per row and level: key, node, size, level, sketch (array<int>), and the signatures (array<long>) and parts (array<int>).
-    A row without shingles has one line with null node."""
+    """Per row and level: key, node, size, level and signatures. A row without shingles has one line with null node."""
     kind = docs.select(key).schema[0].dataType.simpleString()
-    names = [key, "node", "n", "level", "sketch", "signatures", "parts"]
+    names = [key, "node", "n", "level", "signatures"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in steps(batches, text, 2 << 20):
@@ -117,7 +118,7 @@ def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> Dat
             node, size, keys = _nodes(value, starts), np.diff(starts), batch.column(batch.schema.get_field_index(key))
             empty = np.flatnonzero(size == 0)
             if len(empty):
-                none = [pa.nulls(len(empty), t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))]
+                none = [pa.nulls(len(empty), t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(empty)), none[0], pa.array(size[empty], pa.int64()), *none[1:]], names=names)
             for who, at, bounds, sketch, sig_row, sig_part in sketches(value, starts, percent):
                 order = np.argsort(sig_row, kind="stable")
@@ -126,17 +127,10 @@ def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> Dat
                 cell[sig_part < 0] = 0
                 signature = mix(cell + mix((sig_part + 1).astype(np.uint64) * np.uint64(64) + at[sig_row].astype(np.uint64)))
                 sig_bounds = np.searchsorted(sig_row, np.append(who, len(size)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.take(pa.array(who)), pa.array([node[k] for k in who], pa.int64()), pa.array(size[who], pa.int64()), pa.array(at[who].astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.append(bounds[who], bounds[-1]), pa.int32()), pa.array((sketch >> np.uint64(32)).astype(np.uint32).view(np.int32))),
-                        pa.ListArray.from_arrays(pa.array(sig_bounds, pa.int32()), pa.array(signature.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(sig_bounds, pa.int32()), pa.array(sig_part.astype(np.int32))),
-                    ],
-                    names=names,
-                )
+                listed = pa.ListArray.from_arrays(pa.array(sig_bounds, pa.int32()), pa.array(signature.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(who)), pa.array([node[k] for k in who], pa.int64()), pa.array(size[who], pa.int64()), pa.array(at[who].astype(np.int32)), listed], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, level int, sketch array<int>, signatures array<long>, parts array<int>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, level int, signatures array<long>")
 
 
 def _nodes(value: np.ndarray, starts: np.ndarray) -> list[int | None]:
@@ -145,16 +139,40 @@ def _nodes(value: np.ndarray, starts: np.ndarray) -> list[int | None]:
     return [int.from_bytes(hashlib.md5(raw[8 * a : 8 * b]).digest()[:8], "big", signed=True) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """Per row: node, size, and the set itself."""
+def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """One text of each wanted node (key, node): node, n, the packed text, and its level and sketch, once a level.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in steps(batches, text, 2 << 20):
-            value, starts = shingles(data, offsets, n)
-            listed = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(value, starts), pa.int64()), pa.array(np.diff(starts), pa.int64()), listed], names=["node", "n", "items"])
+    Texts are packed before they move, as a packed text is much smaller than the set of its shingles."""
+    kind = docs.select(key).schema[0].dataType.simpleString()
 
-    return docs.select(text).mapInArrow(run, "node long, n long, items array<long>")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch, data, offsets in steps(batches, text):
+            raw = data.tobytes()
+            packed = [packer.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(packed, pa.binary())], names=["_key", "packed"])
+
+    def sketch_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                texts = [unpacker.decompress(x) for x in batch.column(1).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+                value, starts = shingles(np.frombuffer(b"".join(texts), np.uint8), offsets, n)
+                # A key may have other texts than the wanted node's.
+                right = np.array([x == y for x, y in zip(_nodes(value, starts), batch.column(0).to_pylist(), strict=True)], bool)
+                size = np.diff(starts)
+                for who, at, bounds, sketch, _, _ in sketches(value, starts, percent):
+                    cells = (sketch >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(np.append(bounds[who], bounds[-1]), pa.int32()), pa.array(cells))
+                    lower = pa.array(at[who] == level_of(size[who]))
+                    out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(size[who], pa.int64()), pc.if_else(lower, batch.column(1).take(pa.array(who)), pa.scalar(None, pa.binary())), pa.array(at[who].astype(np.int32)), listed], names=["node", "n", "packed", "level", "sketch"])
+                    yield out.filter(pa.array(right[who]))
+
+    packed = docs.select(key, text).mapInArrow(pack, f"_key {kind}, packed binary")
+    found = packed.join(wanted.withColumnRenamed("_key", "_wanted"), F.col("_key").eqNullSafe(F.col("_wanted")))
+    one = found.select("node", "packed").distinct()
+    return one.mapInArrow(sketch_, "node long, n long, packed binary, level int, sketch array<int>")
 
 
 def near(sketch: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -188,11 +206,10 @@ def near(sketch: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) ->
         yield i + a, j, differ[i, j]
 
 
-def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of nodes to measure, from regions whose members stand together in a partition.
+def _candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """Near pairs of nodes with different roots, from cells whose members stand together in a partition.
 
-    nearest: of each member only the pair with the nearest of the earlier ones. Otherwise all pairs of members with
-    different roots, each in the region of the first part that both share, so once."""
+    A pair may share many regions; it is returned in that of the first part that both share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -201,7 +218,7 @@ def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
             held = table if held is None else pa.concat_tables([held, table])
             cells = held["cell"].to_numpy()
             last = np.flatnonzero(cells != cells[-1])
-            if len(last):  # all but the last region, which may go on
+            if len(last):  # all but the last cell, which may go on
                 yield one(held.slice(0, int(last[-1]) + 1))
                 held = held.slice(int(last[-1]) + 1)
         if held is not None and held.num_rows:
@@ -209,8 +226,8 @@ def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
     def one(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        cell, node, size, part, root, side = (table[c].to_numpy() for c in ("cell", "node", "n", "part", "root", "side"))
-        flat = table["sketch"].chunk(0) if table["sketch"].num_chunks else pa.array([], pa.list_(pa.int32()))
+        cell, node, size, root, side = (table[c].to_numpy() for c in ("cell", "node", "n", "root", "side"))
+        flat = table["sketch"].combine_chunks()
         values, starts = flat.flatten().to_numpy(), np.concatenate(([0], np.cumsum(flat.value_lengths().to_numpy())))
         heads = np.append(runs(cell), len(cell))
         out_a, out_b = [], []
@@ -218,31 +235,18 @@ def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
             if b - a < 2:
                 continue
             sketch = values[starts[a] : starts[b]].reshape(b - a, -1)
-            best = np.full(b - a, 1 << 30)
-            choice = np.full(b - a, -1)
-            for i, j, h in near(sketch, size[a:b], percent):
-                # In a pair of blocks, pairs within a block belong to the block's own cell.
-                across = (side[a + i] != side[a + j]) | (side[a] == side[a:b].max()) & (side[a] == side[a:b].min())
-                i, j, h = i[across], j[across], h[across]
-                if nearest:
-                    lower = np.lexsort((i, h, j))
-                    j, i, h = j[lower], i[lower], h[lower]
-                    top = runs(j)
-                    better = h[top] < best[j[top]]
-                    best[j[top][better]], choice[j[top][better]] = h[top][better], i[top][better]
-                    continue
-                apart = root[a + i] != root[a + j]
-                i, j = i[apart], j[apart]
+            common = ((sketch == sketch[0]) & (sketch[0] != 0)).all(0)
+            own = int(common.argmax()) if common.any() else -1
+            split = side[a:b].min() != side[a:b].max()
+            for i, j, _ in near(sketch, size[a:b], percent):
+                # In a cell of two blocks, pairs within a block belong to the block's own cell.
+                kept = (root[a + i] != root[a + j]) & ((side[a + i] != side[a + j]) | (not split))
+                i, j = i[kept], j[kept]
                 if len(i):
                     same = (sketch[i] == sketch[j]) & (sketch[i] != 0)
-                    lead = np.where(same.any(1), same.argmax(1), -1)
-                    own = lead == part[a]
-                    out_a.append(node[a + i[own]])
-                    out_b.append(node[a + j[own]])
-            if nearest:
-                got = np.flatnonzero(choice >= 0)
-                out_a.append(node[a + choice[got]])
-                out_b.append(node[a + got])
+                    first = np.where(same.any(1), same.argmax(1), -1) == own
+                    out_a.append(node[a + i[first]])
+                    out_b.append(node[a + j[first]])
         left = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         right = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], names=["node", "pivot"])
@@ -250,21 +254,17 @@ def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return placed.mapInArrow(run, "node long, pivot long").distinct()
 
 
-def _place(members: DataFrame, lines: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members with their sketches and roots, a region to a cell; regions of more than BLOCK members are dealt into
-    cells of two blocks each, so no task holds more than two blocks of one region."""
-    if roots is not None:
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = rooted.groupBy("region").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("region")
-        members = rooted.join(open_, "region")
-    else:
-        members = members.withColumn("root", F.col("node"))
+def _place(members: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of regions with several roots, with their sketches, a region to a cell; regions of more than BLOCK members
+    are dealt into cells of two blocks each, so no task holds more than two blocks of one region."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rooted.groupBy("region").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("members")).where("_lo <> _hi").select("region", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     side = F.pmod(F.col("node"), blocks).cast("int")
     mates = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("region", F.least(k, side), F.greatest(k, side)))
-    dealt = members.select("*", side.alias("side"), F.explode(mates).alias("cell"))
+    dealt = rooted.join(open_, "region").select("node", "level", "root", side.alias("side"), F.explode(mates).alias("cell"))
     joined = dealt.join(lines.select("node", "level", "n", "sketch"), ["node", "level"])
-    return joined.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "n", "part", "root", "side", "sketch")
+    return joined.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "n", "root", "side", "sketch")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, percent: int = 85) -> DataFrame:
@@ -275,10 +275,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     1. Documents with equal sets become one node; nodes are 64-bit hashes of sets of 64-bit shingle hashes.
     2. Nodes that share a signature form a region; equal regions are one. Linked nodes meet in a region, as sketches()
        loses none.
-    3. Sketches live in a metric space in which linked nodes are near: regions find near pairs there, large ones by
-       pivots and windows (near()). First each node is measured against its nearest earlier one of each region; then,
-       among nodes that these links leave apart, all near pairs are. So a link is either measured or joins nodes that are
-       joined already, and groups of copies cost a few pairs for each copy.
+    3. In each region the least node is the pivot. First each node is measured against the pivot that it meets in most
+       regions, and the least one. Then, among nodes that these links leave apart, all near pairs are measured: sketches
+       live in a metric space in which linked nodes are near, and large regions are cut there by pivots and windows
+       (near()). So a link is either measured or joins nodes that are joined already, and groups of copies cost a few
+       pairs for each copy.
     4. Measuring takes whole sets, exactly; links give components.
 
     Null and empty texts link with nothing. Null keys never name a component unless all of its keys are null. Repeated
@@ -286,26 +287,28 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     """
     table = materialize(_levelled(docs, text, key, n, percent)).withColumnRenamed(key, "_key")
     filled = table.where("node is not null")
-    one = filled.groupBy("node", "level").agg(F.min(F.struct("n", "sketch", "signatures", "parts")).alias("r"))
-    lines = materialize(one.select("node", "level", "r.*"))
-    exploded = lines.select("node", "level", F.explode(F.arrays_zip("signatures", "parts")).alias("s")).select("node", "level", F.col("s.signatures").alias("signature"), F.col("s.parts").alias("part"))
+    exploded = filled.select("node", "level", F.explode("signatures").alias("signature"))
     group = Window.partitionBy("signature")
-    count = F.count("*").over(group)
-    region = F.xxhash64("level", F.bit_xor("node").over(group), F.min("node").over(group), F.max("node").over(group), count)
-    grouped = exploded.select("node", "level", "part", region.alias("region"), count.alias("members")).where("members > 1")
-    members = materialize(grouped.groupBy("region", "node", "level", "members").agg(F.min("part").alias("part")))
-    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    lowest, highest = F.min("node").over(group), F.max("node").over(group)
+    region = F.xxhash64("level", F.bit_xor("node").over(group), F.sum(F.pmod("node", F.lit((1 << 31) - 1))).over(group), F.count("*").over(group), lowest, highest)
+    grouped = exploded.select("node", "level", region.alias("region"), lowest.alias("pivot"), highest.alias("_high")).where("pivot <> _high")
+    members = materialize(grouped.groupBy("region", "node", "level", "pivot").agg(F.count("*").alias("shared")))
     keys = filled.groupBy("node").agg(F.min("_key").alias("_key"))
     wanted = members.select("node").distinct().join(keys, "node")
-    # Keys may repeat with other texts: only the sets asked for are kept.
-    own = _sets(rows.join(wanted.select("_key").distinct(), F.col("_doc").eqNullSafe(F.col("_key"))).select("_text"), "_text", n)
-    sets = materialize(own.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    first = materialize(_measure(_candidates(_place(members, lines, None), percent, True), sets, percent))
-    roots = materialize(components(first.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-    rest = _candidates(_place(members, lines, roots), percent, False).join(first, ["node", "pivot"], "left_anti")
-    second = materialize(_measure(rest, sets, percent))
-    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    roots = components(joined) if not second.where("linked").isEmpty() else roots
+    lines = materialize(_texts(docs, text, key, wanted, n, percent))
+    texts = lines.where("packed is not null").select("node", "packed")
+    met = members.where("node <> pivot").groupBy("node", "pivot").agg(F.sum("shared").alias("shared"))
+    best = met.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("most"), F.min("pivot").alias("least"))
+    pairs = best.select("node", F.explode(F.array_distinct(F.array("most.pivot", "least"))).alias("pivot"))
+    first = materialize(_measure(pairs, texts, n, percent))
+    links = first.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    roots = materialize(components(links))
+    tried = first.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
+    rest = _candidates(_place(members, lines, roots), percent).join(tried, ["node", "pivot"], "left_anti")
+    second = materialize(_measure(rest, texts, n, percent)).where("linked")
+    if not second.isEmpty():
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(joined.unionByName(second.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
     named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("_key").alias("component_id"))
     classes = materialize(named.join(smallest, "root").select("node", "component_id"))
@@ -316,11 +319,26 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     return linked.unionByName(alone).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact distances of pairs of nodes, and whether they link."""
-    left = sets.select(F.col("node").alias("_a"), F.col("items").alias("_x"), F.col("n").alias("_nx"))
-    right = sets.select(F.col("node").alias("_b"), F.col("items").alias("_y"), F.col("n").alias("_ny"))
+def _measure(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Whether pairs of nodes link, from their whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
+                count = batch.num_rows
+                raw = [unpacker.decompress(x) for k in (2, 3) for x in batch.column(k).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+                value, starts = shingles(np.frombuffer(b"".join(raw), np.uint8), offsets, n)
+                size = np.diff(starts)
+                pair = np.repeat(np.arange(2 * count) % count, size)
+                order = np.lexsort((value, pair))
+                twice = (value[order][1:] == value[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+                shared = np.bincount(pair[order][1:][twice], minlength=count)
+                either = size[:count] + size[count:] - shared
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(100 * shared >= percent * either)], names=["node", "pivot", "linked"])
+
+    left = texts.select(F.col("node").alias("_a"), F.col("packed").alias("_x"))
+    right = texts.select(F.col("node").alias("_b"), F.col("packed").alias("_y"))
     joined = pairs.join(left, F.col("node") == F.col("_a")).join(right, F.col("pivot") == F.col("_b"))
-    shared = joined.select("node", "pivot", "_nx", "_ny", F.size(F.array_intersect("_x", "_y")).cast("long").alias("_s"))
-    either = F.col("_nx") + F.col("_ny") - F.col("_s")
-    return shared.select("node", "pivot", (1 - F.col("_s") / either).alias("d"), (100 * F.col("_s") >= percent * either).alias("linked"))
+    return joined.select("node", "pivot", "_x", "_y").mapInArrow(run, "node long, pivot long, linked boolean")
