@@ -122,8 +122,8 @@ def sort_bucket(lead: np.ndarray, shift: np.ndarray, own: np.ndarray, starts: np
 
 
 def _sort(contents: DataFrame, length: int) -> DataFrame:
-    """Repeats among the fetched strings. Ranges of (lead, bytes) come from Spark's sampled splitters; each is sorted on
-    its own. A lead with more classes than its range holds goes on in the next range: its distinct suffixes are also
+    """Repeats among the fetched strings. Ranges of leads come from Spark's sampled splitters; each is sorted on its
+    own. A lead with more classes than its range holds goes on in the next range: its distinct suffixes are also
     returned as hashes (kind 1), to be compared across ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _rows(kind: int, body: np.ndarray, first: np.ndarray, last: np.ndarray, hash
     )
 
 
-def repeats(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id", bucket_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id", bucket_bytes: int = 8 << 20, split_classes: int = 20000) -> tuple[DataFrame, DataFrame]:
     """Rows of `docs` as (key, rid, _text), and per rid the byte ranges that repeated strings cover (array of structs)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key), text_of(text).alias("_text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)).alias("rid"))
@@ -176,7 +176,9 @@ def repeats(docs: DataFrame, length: int = 200, text: str = "text", key: str = "
     wanted = classes.join(several, "lead").select("one.*", "body", (F.col("_n") > 1).alias("own"), "classes")
     contents = materialize(_fetch(rows, wanted, length))
     size = contents.agg(F.sum(F.octet_length("bytes"))).head()[0] or 0
-    ranged = contents.repartitionByRange(tasks_for(spark, size, bucket_bytes), "lead", "bytes").sortWithinPartitions("lead", "bytes")
+    # Only leads of more than split_classes classes may be split between ranges; all others are whole in one.
+    within = F.when(F.col("classes") > split_classes, F.col("bytes"))
+    ranged = contents.repartitionByRange(tasks_for(spark, size, bucket_bytes), F.col("lead"), within).sortWithinPartitions("lead", "bytes")
     sorted_ = materialize(_sort(ranged, length))
     across = sorted_.where("kind = 1")
     shared = across.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
