@@ -36,17 +36,19 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents as the mix takes them: a row per whole repetition, and one with the first words of a document
     that is taken in part; documents that aren't taken go."""
-    mixed = mixing.mix(docs)
-    size, taken = F.col("mix.size"), F.col("mix.taken")
+    into = "mix" + "_" * max((len(c) for c in docs.columns), default=0)  # longer than any column's name
+    mixed = mixing.mix(docs, into=into)
+    size, taken = F.col(f"{into}.size"), F.col(f"{into}.taken")
     part = F.when(size > 0, taken % size).otherwise(F.lit(0)).cast("int")
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = mixed.withColumn("_words", F.explode(copies))
-    head = F.array_join(F.slice(F.split(F.trim(text_of("text"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), 1, F.col("_words")), " ")
-    cut = F.when(F.col("_words") > 0, head).otherwise(F.col("text"))
+    rows = mixed.withColumn(f"{into}_words", F.explode(copies))
+    words = F.col(f"{into}_words")
+    head = F.array_join(F.slice(F.split(F.trim(text_of("text"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), 1, words), " ")
+    cut = F.when(words > 0, head).otherwise(F.col("text"))
     rows = rows.withColumn("text", cut)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(words > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*[F.col(c) for c in docs.columns])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Regular expression of a word: a run without blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one NumPy step works on (a single longer document makes a longer step).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

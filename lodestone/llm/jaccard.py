@@ -48,6 +48,8 @@ def farthest(size: np.ndarray, percent: int) -> np.ndarray:
 
 #: Members of a region that are compared all with all in one step; larger regions are cut by pivots.
 CELL = 2048
+#: Cells of parts that tell in which of its regions a pair is returned.
+HEAD = 32
 #: Members of a region in one task; larger regions are dealt into pairs of blocks.
 BLOCK = 20000
 
@@ -107,6 +109,22 @@ def sketches(value: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[tu
         yield who, at, bounds, sketch, sig_row, sig_part
 
 
+def classes_of(level: np.ndarray) -> np.ndarray:
+    """Number of classes on a level: one for each eight elements of its largest set."""
+    return np.maximum(8, np.left_shift(1, level) // 8)
+
+
+def class_counts(value: np.ndarray, starts: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of each set in each class of its level (255 at most), and the sets' offsets in these. The sum of their
+    differences is a metric, and no more than the symmetric difference of two sets; of unrelated sets it is far more
+    than of linked ones, at an eighth of a byte an element."""
+    count = classes_of(level)
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    row = np.repeat(np.arange(len(level)), np.diff(starts))
+    class_ = (((mix(value + np.uint64(0x51ED270B)) >> np.uint64(32)) * count[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    return np.minimum(np.bincount(bounds[row] + class_, minlength=bounds[-1]), 255).astype(np.uint8), bounds
+
+
 def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
     """Per row and level: key, node, size, level and signatures. A row without shingles has one line with null node."""
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -140,7 +158,8 @@ def _nodes(value: np.ndarray, starts: np.ndarray) -> list[int | None]:
 
 
 def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, percent: int) -> DataFrame:
-    """One text of each wanted node (key, node): node, n, the packed text, and its level and sketch, once a level.
+    """One text of each wanted node (key, node): node, n, the packed text, and on each of its levels a sketch: the first
+    HEAD cells of its parts, two bytes each, and its class counts.
 
     Texts are packed before they move, as a packed text is much smaller than the set of its shingles."""
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -163,53 +182,58 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, perc
                 right = np.array([x == y for x, y in zip(_nodes(value, starts), batch.column(0).to_pylist(), strict=True)], bool)
                 size = np.diff(starts)
                 for who, at, bounds, sketch, _, _ in sketches(value, starts, percent):
-                    cells = (sketch >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    listed = pa.ListArray.from_arrays(pa.array(np.append(bounds[who], bounds[-1]), pa.int32()), pa.array(cells))
+                    counts, places = class_counts(value, starts, np.where(np.isin(np.arange(len(size)), who), at, 0))
+                    cells = (sketch >> np.uint64(48)).astype("<u2")
+                    out_sketch = []
+                    for k in who.tolist():
+                        head = np.zeros(HEAD, "<u2")
+                        own = cells[bounds[k] : bounds[k + 1]][:HEAD]
+                        head[: len(own)] = own
+                        out_sketch.append(head.tobytes() + counts[places[k] : places[k + 1]].tobytes())
                     lower = pa.array(at[who] == level_of(size[who]))
-                    out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(size[who], pa.int64()), pc.if_else(lower, batch.column(1).take(pa.array(who)), pa.scalar(None, pa.binary())), pa.array(at[who].astype(np.int32)), listed], names=["node", "n", "packed", "level", "sketch"])
+                    out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(size[who], pa.int64()), pc.if_else(lower, batch.column(1).take(pa.array(who)), pa.scalar(None, pa.binary())), pa.array(at[who].astype(np.int32)), pa.array(out_sketch, pa.binary())], names=["node", "n", "packed", "level", "sketch"])
                     yield out.filter(pa.array(right[who]))
 
     packed = docs.select(key, text).mapInArrow(pack, f"_key {kind}, packed binary")
     found = packed.join(wanted.withColumnRenamed("_key", "_wanted"), F.col("_key").eqNullSafe(F.col("_wanted")))
     one = found.select("node", "packed").distinct()
-    return one.mapInArrow(sketch_, "node long, n long, packed binary, level int, sketch array<int>")
+    return one.mapInArrow(sketch_, "node long, n long, packed binary, level int, sketch binary")
 
 
-def near(sketch: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i, j, differing parts) of sketches that may link, with i < j; each pair once at least.
+def near(counts: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of members that may link, by their class counts, with i < j; each pair once at least.
 
-    The number of differing parts is a metric, and no more than the symmetric difference of the sets. A region of more
+    The distance of class counts is a metric, and no more than the symmetric difference of the sets. A region of more
     than CELL members is cut by pivots: each member goes to the cell of its nearest pivot, and to all cells whose pivot
-    is at most 2 d farther (d: the most differing parts of a linked pair), so that both ends of a pair meet in the
-    nearest cell of either. Cells join in the same way; one that does not shrink is compared in blocks.
+    is at most 2 d farther (d: the most that linked sets differ by), so that both ends of a pair meet in the nearest cell
+    of either. Cells join in the same way; one that does not shrink is compared in blocks.
     """
-    count = len(sketch)
+    counts, count = counts.astype(np.int16, copy=False), len(counts)
     most = int(farthest(size, percent).max(initial=0))
     if count > CELL and depth < 8:
         pivots = np.linspace(0, count - 1, max(2, count // CELL * 2)).astype(int)
-        away = np.stack([(sketch != sketch[p]).sum(1) for p in pivots], 1)
+        away = np.stack([np.abs(counts - counts[p]).sum(1) for p in pivots], 1)
         inside = away <= away.min(1, keepdims=True) + 2 * most
         if inside.sum() < 1.5 * count:
             for k in range(len(pivots)):
                 cell = np.flatnonzero(inside[:, k])
-                for i, j, h in near(sketch[cell], size[cell], percent, depth + 1):
-                    yield cell[i], cell[j], h
+                for i, j in near(counts[cell], size[cell], percent, depth + 1):
+                    yield cell[i], cell[j]
             return
-    step = max(1, (8 << 20) // max(1, count * sketch.shape[1] * 4))
+    step = max(1, (8 << 20) // max(1, count * counts.shape[1] * 2))
     for a in range(0, count, step):
-        block = sketch[a : a + step]
-        differ = (block[:, None, :] != sketch[None, :, :]).sum(2)
-        both = size[a : a + step, None] + size[None, :]
-        fits = (differ <= ((100 - percent) * both) // (100 + percent)) & (100 * np.minimum(size[a : a + step, None], size[None, :]) >= percent * np.maximum(size[a : a + step, None], size[None, :]))
-        fits &= np.arange(count)[None, :] > np.arange(a, min(a + step, count))[:, None]
-        i, j = np.nonzero(fits)
-        yield i + a, j, differ[i, j]
+        own, n = counts[a : a + step], size[a : a + step, None]
+        fits = (100 * np.minimum(n, size[None, :]) >= percent * np.maximum(n, size[None, :])) & (np.arange(count)[None, :] > np.arange(a, min(a + step, count))[:, None])
+        differ = np.abs(own[:, None, :] - counts[None, :, :]).sum(2)
+        i, j = np.nonzero(fits & (differ <= ((100 - percent) * (n + size[None, :])) // (100 + percent)))
+        yield i + a, j
 
 
 def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     """Near pairs of nodes with different roots, from cells whose members stand together in a partition.
 
-    A pair may share many regions; it is returned in that of the first part that both share."""
+    A pair may share many regions. It is returned in those of the first three parts that both share (three, as a cell has
+    two bytes and may agree by chance); pairs that share none of the first parts, in all of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -227,26 +251,26 @@ def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     def one(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         cell, node, size, root, side = (table[c].to_numpy() for c in ("cell", "node", "n", "root", "side"))
-        flat = table["sketch"].combine_chunks()
-        values, starts = flat.flatten().to_numpy(), np.concatenate(([0], np.cumsum(flat.value_lengths().to_numpy())))
+        raw = table["sketch"].to_pylist()
         heads = np.append(runs(cell), len(cell))
         out_a, out_b = [], []
         for a, b in zip(heads[:-1], heads[1:], strict=True):
             if b - a < 2:
                 continue
-            sketch = values[starts[a] : starts[b]].reshape(b - a, -1)
-            common = ((sketch == sketch[0]) & (sketch[0] != 0)).all(0)
+            sketch = np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(b - a, -1)
+            head = np.ascontiguousarray(sketch[:, : 2 * HEAD]).view("<u2")
+            common = ((head == head[0]) & (head[0] != 0)).all(0)
             own = int(common.argmax()) if common.any() else -1
             split = side[a:b].min() != side[a:b].max()
-            for i, j, _ in near(sketch, size[a:b], percent):
+            for i, j in near(sketch[:, 2 * HEAD :], size[a:b], percent):
                 # In a cell of two blocks, pairs within a block belong to the block's own cell.
                 kept = (root[a + i] != root[a + j]) & ((side[a + i] != side[a + j]) | (not split))
                 i, j = i[kept], j[kept]
                 if len(i):
-                    same = (sketch[i] == sketch[j]) & (sketch[i] != 0)
-                    first = np.where(same.any(1), same.argmax(1), -1) == own
-                    out_a.append(node[a + i[first]])
-                    out_b.append(node[a + j[first]])
+                    same = (head[i] == head[j]) & (head[i] != 0)
+                    before = same[:, : max(own, 0)].sum(1) if own >= 0 else same.sum(1)
+                    out_a.append(node[a + i[before < 3]])
+                    out_b.append(node[a + j[before < 3]])
         left = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         right = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], names=["node", "pivot"])
@@ -276,7 +300,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     2. Nodes that share a signature form a region; equal regions are one. Linked nodes meet in a region, as sketches()
        loses none.
     3. In each region the least node is the pivot. First each node is measured against the pivot that it meets in most
-       regions, and the least one. Then, among nodes that these links leave apart, all near pairs are measured: sketches
+       regions. Then, among nodes that these links leave apart, all near pairs are measured: sketches
        live in a metric space in which linked nodes are near, and large regions are cut there by pivots and windows
        (near()). So a link is either measured or joins nodes that are joined already, and groups of copies cost a few
        pairs for each copy.
@@ -298,8 +322,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     lines = materialize(_texts(docs, text, key, wanted, n, percent))
     texts = lines.where("packed is not null").select("node", "packed")
     met = members.where("node <> pivot").groupBy("node", "pivot").agg(F.sum("shared").alias("shared"))
-    best = met.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("most"), F.min("pivot").alias("least"))
-    pairs = best.select("node", F.explode(F.array_distinct(F.array("most.pivot", "least"))).alias("pivot"))
+    pairs = met.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("most")).select("node", F.col("most.pivot").alias("pivot"))
     first = materialize(_measure(pairs, texts, n, percent))
     links = first.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     roots = materialize(components(links))

@@ -46,9 +46,10 @@ def mix(
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 17,
+    into: str = "mix",
 ) -> DataFrame:
-    """How many words of each document a mix takes. Returns all columns of `docs` and, as the struct `mix`, size,
-    source_size, target and taken. `size` names a column of word counts; without it words are counted in `text`.
+    """How many words of each document a mix takes. Returns all columns of `docs` (but one named `into`) and, as the
+    struct `into`, size, source_size, target and taken. `size` names a column of word counts; without it words are counted in `text`.
 
     Sources in code-point order, null last, get the weights in turn. A source's target is met by whole repetitions of
     all its documents and one fractional one: documents in the order of a seeded hash until the rest of the target is
@@ -62,6 +63,7 @@ def mix(
     Scale: two aggregates with map-side combine (source; source x hash range), joins of the documents with these small
     tables, and one window over a single hash range of each source. No step gathers a source in one task.
     """
+    docs = docs.drop(into)
     counted = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else words(text)
     narrow = docs.select(
         F.struct("*").alias("_row"),
@@ -84,7 +86,7 @@ def mix(
     )
     taken = (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long")
     return below.unionByName(inside).select(
-        "_row.*", F.struct(F.col("_size").alias("size"), "source_size", "target", taken.alias("taken")).alias("mix")
+        "_row.*", F.struct(F.col("_size").alias("size"), "source_size", "target", taken.alias("taken")).alias(into)
     )
 
 
