@@ -75,7 +75,7 @@ def audio_files(df: DataFrame, path: str = "path", content: str = "content", t:
                 try:
                     row |= audio_metrics(*decode_wav(raw), t)
                 except Exception as e:  # a file that can't be decoded is a finding, not a failure
-                    row["audio_error"] = str(e)[:200]
+                    row["audio_error"] = (str(e) or type(e).__name__)[:200]
                 out.append(row)
             yield pd.DataFrame(out, columns=["path", "audio_error", *names])
 

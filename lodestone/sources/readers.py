@@ -172,7 +172,7 @@ def read_skeletons(spark: SparkSession, path: str) -> DataFrame:
                     row["boxes"] = [dict(zip(("x1", "y1", "x2", "y2"), map(float, b), strict=True)) for b in z["boxes"]]
                     row |= {"fps": float(z["fps"]), "width": int(z["width"]), "height": int(z["height"])}
                 except Exception as e:  # a file that can't be read is a finding
-                    row["skeleton_error"] = str(e)[:200]
+                    row["skeleton_error"] = (str(e) or type(e).__name__)[:200]
                 out.append(row)
             yield pd.DataFrame(out)
 
