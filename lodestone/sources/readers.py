@@ -159,7 +159,7 @@ def json_text(df: DataFrame, column: str, keys: Sequence[str] = (), lines: bool
 
 def read_skeletons(spark: SparkSession, path: str) -> DataFrame:
     """Skeleton files (.npz): path, keypoints, boxes, fps, width, height, skeleton_error. Pickled arrays are refused."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
