@@ -66,6 +66,32 @@ def _tables(s: SparkSession, d: str) -> DataFrame:
 
 
 add("io05_table_listing", _tables)
+
+
+def _sql_source(s: SparkSession, d: str) -> DataFrame:
+    for n in ("region", "nation"):
+        T(s, d, n).createOrReplaceTempView(n)
+    return readers.build_query(s, "nation", [{"table": "region", "on": "n_regionkey = r_regionkey", "type": "inner"}], ["n_name", "r_name"], "r_regionkey > 1")
+
+
+add("io02_sql_source", _sql_source, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 1")
+
+
+def _json_round_trip(s: SparkSession, d: str) -> DataFrame:
+    import os
+    import tempfile
+
+    path = os.path.join(tempfile.mkdtemp(), "a", "counts.json")
+    readers.write_json({r.n_name: r.n_nationkey for r in T(s, d, "nation").collect()}, path)
+    return s.createDataFrame(list(readers.read_json(path).items()), "n_name string, n_nationkey long")
+
+
+add("io06_json_round_trip", _json_round_trip, "SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation")
+add(
+    "io09_path_existence",
+    lambda s, d: readers.existing_paths(s.createDataFrame([("nation.parquet",), ("./region.parquet",), ("sub/part.parquet",), ("gone.parquet",)], "path string"), "path", d),
+    "SELECT * FROM (VALUES ('nation.parquet', true), ('./region.parquet', true), ('sub/part.parquet', true), ('gone.parquet', false)) t(path, path_exists)",
+)
 add(
     "io07_json_safe",
     lambda s, d: rounded(T(s, d, "events").select("event_id", X.finite(F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 1, F.lit(float("inf"))).otherwise(F.col("value"))).alias("value"))),
@@ -267,6 +293,36 @@ add("sk8_limb_variance", lambda s, d: _POSED(s, d).select("clip", "left_shoulder
 
 # --- audio and video --------------------------------------------------------------------------------------------
 
+
+
+def _waves(s: SparkSession, d: str) -> DataFrame:
+    """A second of sound for each of a few vectors, as WAV files in memory."""
+
+    def make(batches):
+        import io
+        import wave
+
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for i, v in zip(b["vec_id"], b["embedding"], strict=True):
+                raw = io.BytesIO()
+                with wave.open(raw, "wb") as w:
+                    w.setnchannels(1)
+                    w.setsampwidth(2)
+                    w.setframerate(8000)
+                    w.writeframes((np.resize(np.asarray(v, float), 8000) * 30000).astype("<i2").tobytes())
+                out.append((f"{i}.wav", raw.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return T(s, d, "embeddings").where("vec_id < 20").select("vec_id", "embedding").mapInPandas(make, "path string, content binary")
+
+
+add("au1_audio_info", lambda s, d: rounded(media.audio_files(_waves(s, d)).select("path", "duration_seconds", "sample_rate", "channels", "n_samples")), _r("SELECT CAST(vec_id AS VARCHAR) || '.wav' AS path, r6(1) AS duration_seconds, CAST(8000 AS BIGINT) AS sample_rate, CAST(1 AS BIGINT) AS channels, CAST(8000 AS BIGINT) AS n_samples FROM embeddings WHERE vec_id < 20"))
+add("au7_audio_metrics", lambda s, d: rounded(media.audio_files(_waves(s, d))))
+add("vi3_video_info", lambda s, d: media.video_info(_waves(s, d)).select("path", "status"))
 add("au6_clipping", lambda s, d: rounded(T(s, d, "embeddings").select("vec_id", media.clipping_ratio(F.transform("embedding", lambda x: x.cast("double") * 5)).alias("clipping_ratio"))), _r("SELECT vec_id, r6(len(list_filter(embedding, lambda x: abs(CAST(x AS DOUBLE) * 5) >= 0.999)) / len(embedding)) AS clipping_ratio FROM embeddings"))
 add("vi1_temporal_snr", lambda s, d: rounded(media.temporal_snr(T(s, d, "events"), "user_id", "value")), _r("SELECT user_id, count(*) AS n_frames, r6(avg(value) / greatest(coalesce(stddev_samp(value), 0), 1e-12)) AS temporal_snr FROM events GROUP BY 1 HAVING count(*) > 0"))
 add("vi2_action_window", lambda s, d: rounded(media.action_window(T(s, d, "events"), "user_id", "event_id", "value")), _r("WITH a AS (SELECT user_id, event_id AS f, value AS v, avg(value) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, r6(max(v)) AS max_amplitude, r6(avg(v)) AS mean_amplitude, greatest(min(f), min(CASE WHEN v >= 0.5 * m THEN f END) - 2) AS start_frame, least(max(f), max(CASE WHEN v >= 0.5 * m THEN f END) + 2) AS end_frame FROM a GROUP BY 1"))
