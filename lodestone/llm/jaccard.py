@@ -110,19 +110,19 @@ def sketches(value: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[tu
 
 
 def classes_of(level: np.ndarray) -> np.ndarray:
-    """Number of classes on a level: one for each eight elements of its largest set."""
-    return np.maximum(8, np.left_shift(1, level) // 8)
+    """Number of classes on a level: two for each element of its largest set."""
+    return np.maximum(64, np.left_shift(2, level))
 
 
-def class_counts(value: np.ndarray, starts: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Elements of each set in each class of its level (255 at most), and the sets' offsets in these. The sum of their
-    differences is a metric, and no more than the symmetric difference of two sets; of unrelated sets it is far more
-    than of linked ones, at an eighth of a byte an element."""
+def parities(value: np.ndarray, starts: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each class of a set's level holds an odd number of its elements, as bits in bytes; and the sets' offsets
+    in these. The number of classes in which two sets differ is a metric, and no more than their symmetric difference,
+    of which it is most where that is small."""
     count = classes_of(level)
     bounds = np.concatenate(([0], np.cumsum(count)))
     row = np.repeat(np.arange(len(level)), np.diff(starts))
     class_ = (((mix(value + np.uint64(0x51ED270B)) >> np.uint64(32)) * count[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-    return np.minimum(np.bincount(bounds[row] + class_, minlength=bounds[-1]), 255).astype(np.uint8), bounds
+    return np.packbits((np.bincount(bounds[row] + class_, minlength=bounds[-1]) & 1).astype(bool)), bounds // 8
 
 
 def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _nodes(value: np.ndarray, starts: np.ndarray) -> list[int | None]:
 
 def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, percent: int) -> DataFrame:
     """One text of each wanted node (key, node): node, n, the packed text, and on each of its levels a sketch: the first
-    HEAD cells of its parts, two bytes each, and its class counts.
+    HEAD cells of its parts, two bytes each, and the parities of its classes.
 
     Texts are packed before they move, as a packed text is much smaller than the set of its shingles."""
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -182,14 +182,14 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, perc
                 right = np.array([x == y for x, y in zip(_nodes(value, starts), batch.column(0).to_pylist(), strict=True)], bool)
                 size = np.diff(starts)
                 for who, at, bounds, sketch, _, _ in sketches(value, starts, percent):
-                    counts, places = class_counts(value, starts, np.where(np.isin(np.arange(len(size)), who), at, 0))
+                    bits, places = parities(value, starts, np.where(np.isin(np.arange(len(size)), who), at, 0))
                     cells = (sketch >> np.uint64(48)).astype("<u2")
                     out_sketch = []
                     for k in who.tolist():
                         head = np.zeros(HEAD, "<u2")
                         own = cells[bounds[k] : bounds[k + 1]][:HEAD]
                         head[: len(own)] = own
-                        out_sketch.append(head.tobytes() + counts[places[k] : places[k + 1]].tobytes())
+                        out_sketch.append(head.tobytes() + bits[places[k] : places[k + 1]].tobytes())
                     lower = pa.array(at[who] == level_of(size[who]))
                     out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(size[who], pa.int64()), pc.if_else(lower, batch.column(1).take(pa.array(who)), pa.scalar(None, pa.binary())), pa.array(at[who].astype(np.int32)), pa.array(out_sketch, pa.binary())], names=["node", "n", "packed", "level", "sketch"])
                     yield out.filter(pa.array(right[who]))
@@ -200,31 +200,31 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, perc
     return one.mapInArrow(sketch_, "node long, n long, packed binary, level int, sketch binary")
 
 
-def near(counts: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of members that may link, by their class counts, with i < j; each pair once at least.
+def near(bits: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of members that may link, by their parities (rows of bytes), with i < j; each pair once at least.
 
-    The distance of class counts is a metric, and no more than the symmetric difference of the sets. A region of more
+    The number of differing bits is a metric, and no more than the symmetric difference of the sets. A region of more
     than CELL members is cut by pivots: each member goes to the cell of its nearest pivot, and to all cells whose pivot
     is at most 2 d farther (d: the most that linked sets differ by), so that both ends of a pair meet in the nearest cell
     of either. Cells join in the same way; one that does not shrink is compared in blocks.
     """
-    counts, count = counts.astype(np.int16, copy=False), len(counts)
+    words, count = np.ascontiguousarray(bits).view(np.uint64), len(bits)
     most = int(farthest(size, percent).max(initial=0))
     if count > CELL and depth < 8:
         pivots = np.linspace(0, count - 1, max(2, count // CELL * 2)).astype(int)
-        away = np.stack([np.abs(counts - counts[p]).sum(1) for p in pivots], 1)
+        away = np.stack([np.bitwise_count(words ^ words[p]).sum(1, dtype=np.int32) for p in pivots], 1)
         inside = away <= away.min(1, keepdims=True) + 2 * most
         if inside.sum() < 1.5 * count:
             for k in range(len(pivots)):
                 cell = np.flatnonzero(inside[:, k])
-                for i, j in near(counts[cell], size[cell], percent, depth + 1):
+                for i, j in near(bits[cell], size[cell], percent, depth + 1):
                     yield cell[i], cell[j]
             return
-    step = max(1, (8 << 20) // max(1, count * counts.shape[1] * 2))
+    step = max(1, (16 << 20) // max(1, count * words.shape[1] * 8))
     for a in range(0, count, step):
-        own, n = counts[a : a + step], size[a : a + step, None]
+        own, n = words[a : a + step], size[a : a + step, None]
         fits = (100 * np.minimum(n, size[None, :]) >= percent * np.maximum(n, size[None, :])) & (np.arange(count)[None, :] > np.arange(a, min(a + step, count))[:, None])
-        differ = np.abs(own[:, None, :] - counts[None, :, :]).sum(2)
+        differ = np.bitwise_count(own[:, None, :] ^ words[None, :, :]).sum(2, dtype=np.int32)
         i, j = np.nonzero(fits & (differ <= ((100 - percent) * (n + size[None, :])) // (100 + percent)))
         yield i + a, j
 

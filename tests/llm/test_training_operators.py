@@ -226,24 +226,24 @@ def test_linked_sets_share_a_signature():
 
 def test_near_with_pivots(monkeypatch):
     rng = np.random.default_rng(6)
-    base = rng.integers(0, 60, (6, 40))
-    counts = base[rng.integers(0, 6, 300)]
-    counts[np.arange(300), rng.integers(0, 40, 300)] += rng.integers(0, 3, 300)
+    base = rng.integers(0, 256, (6, 16), dtype=np.uint8)
+    bits = base[rng.integers(0, 6, 300)]
+    bits[np.arange(300), rng.integers(0, 16, 300)] ^= rng.integers(0, 4, 300, dtype=np.uint8)
     size = np.full(300, 60)
-    whole = {(min(i, j), max(i, j)) for a, b in jaccard.near(counts, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    whole = {(min(i, j), max(i, j)) for a, b in jaccard.near(bits, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     monkeypatch.setattr(jaccard, "CELL", 50)
-    cells = {(min(i, j), max(i, j)) for a, b in jaccard.near(counts, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    cells = {(min(i, j), max(i, j)) for a, b in jaccard.near(bits, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     assert cells == whole and whole
 
 
-def test_class_counts_bound_the_difference():
+def test_parities_bound_the_difference():
     rng = np.random.default_rng(7)
-    a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
-    b = np.unique(np.concatenate((a[20:], rng.integers(0, 2**63, 30).astype(np.uint64))))
-    level = np.array([9, 9])
-    counts, bounds = jaccard.class_counts(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), level)
-    x, y = counts[: bounds[1]].astype(int), counts[bounds[1] :].astype(int)
-    assert x.sum() == len(a) and np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+    for change in (5, 30, 200):
+        a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+        b = np.unique(np.concatenate((a[change:], rng.integers(0, 2**63, change).astype(np.uint64))))
+        bits, bounds = jaccard.parities(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), np.array([9, 9]))
+        apart = int(np.bitwise_count(bits[: bounds[1]] ^ bits[bounds[1] :]).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (change > 30 or apart >= 0.85 * len(np.setxor1d(a, b)))
 
 
 def test_large_regions_are_dealt_into_blocks(docs, monkeypatch):
