@@ -296,7 +296,7 @@ add("sk8_limb_variance", lambda s, d: _POSED(s, d).select("clip", "left_shoulder
 
 
 def _waves(s: SparkSession, d: str) -> DataFrame:
-    """A second of sound for each of a few vectors, as WAV files in memory."""
+    """A second of sound for each vector, as WAV files in memory."""
 
     def make(batches):
         import io
@@ -317,10 +317,10 @@ def _waves(s: SparkSession, d: str) -> DataFrame:
                 out.append((f"{i}.wav", raw.getvalue()))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return T(s, d, "embeddings").where("vec_id < 20").select("vec_id", "embedding").mapInPandas(make, "path string, content binary")
+    return T(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(make, "path string, content binary")
 
 
-add("au1_audio_info", lambda s, d: rounded(media.audio_files(_waves(s, d)).select("path", "duration_seconds", "sample_rate", "channels", "n_samples")), _r("SELECT CAST(vec_id AS VARCHAR) || '.wav' AS path, r6(1) AS duration_seconds, CAST(8000 AS BIGINT) AS sample_rate, CAST(1 AS BIGINT) AS channels, CAST(8000 AS BIGINT) AS n_samples FROM embeddings WHERE vec_id < 20"))
+add("au1_audio_info", lambda s, d: rounded(media.audio_files(_waves(s, d)).select("path", "duration_seconds", "sample_rate", "channels", "n_samples")), _r("SELECT CAST(vec_id AS VARCHAR) || '.wav' AS path, r6(1) AS duration_seconds, CAST(8000 AS BIGINT) AS sample_rate, CAST(1 AS BIGINT) AS channels, CAST(8000 AS BIGINT) AS n_samples FROM embeddings"))
 add("au7_audio_metrics", lambda s, d: rounded(media.audio_files(_waves(s, d))))
 add("vi3_video_info", lambda s, d: media.video_info(_waves(s, d)).select("path", "status"))
 add("au6_clipping", lambda s, d: rounded(T(s, d, "embeddings").select("vec_id", media.clipping_ratio(F.transform("embedding", lambda x: x.cast("double") * 5)).alias("clipping_ratio"))), _r("SELECT vec_id, r6(len(list_filter(embedding, lambda x: abs(CAST(x AS DOUBLE) * 5) >= 0.999)) / len(embedding)) AS clipping_ratio FROM embeddings"))
