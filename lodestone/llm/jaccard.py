@@ -200,8 +200,9 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, perc
     return one.mapInArrow(sketch_, "node long, n long, packed binary, level int, sketch binary")
 
 
-def near(bits: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of members that may link, by their parities (rows of bytes), with i < j; each pair once at least.
+def near(bits: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, differing bits) of members that may link, by their parities (rows of bytes), with i < j; each pair
+    once at least.
 
     The number of differing bits is a metric, and no more than the symmetric difference of the sets. A region of more
     than CELL members is cut by pivots: each member goes to the cell of its nearest pivot, and to all cells whose pivot
@@ -217,8 +218,8 @@ def near(bits: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> It
         if inside.sum() < 1.5 * count:
             for k in range(len(pivots)):
                 cell = np.flatnonzero(inside[:, k])
-                for i, j in near(bits[cell], size[cell], percent, depth + 1):
-                    yield cell[i], cell[j]
+                for i, j, h in near(bits[cell], size[cell], percent, depth + 1):
+                    yield cell[i], cell[j], h
             return
     step = max(1, (16 << 20) // max(1, count * words.shape[1] * 8))
     for a in range(0, count, step):
@@ -226,11 +227,12 @@ def near(bits: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> It
         fits = (100 * np.minimum(n, size[None, :]) >= percent * np.maximum(n, size[None, :])) & (np.arange(count)[None, :] > np.arange(a, min(a + step, count))[:, None])
         differ = np.bitwise_count(own[:, None, :] ^ words[None, :, :]).sum(2, dtype=np.int32)
         i, j = np.nonzero(fits & (differ <= ((100 - percent) * (n + size[None, :])) // (100 + percent)))
-        yield i + a, j
+        yield i + a, j, differ[i, j]
 
 
-def _candidates(placed: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of nodes with different roots, from cells whose members stand together in a partition.
+def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Near pairs of nodes with different roots, from cells whose members stand together in a partition: of each node the
+    nearest alone, or all.
 
     A pair may share many regions. It is returned in those of the first three parts that both share (three, as a cell has
     two bytes and may agree by chance); pairs that share none of the first parts, in all of theirs."""
@@ -253,7 +255,7 @@ def _candidates(placed: DataFrame, percent: int) -> DataFrame:
         cell, node, size, root, side = (table[c].to_numpy() for c in ("cell", "node", "n", "root", "side"))
         raw = table["sketch"].to_pylist()
         heads = np.append(runs(cell), len(cell))
-        out_a, out_b = [], []
+        out_a, out_b, out_h = [], [], []
         for a, b in zip(heads[:-1], heads[1:], strict=True):
             if b - a < 2:
                 continue
@@ -262,22 +264,38 @@ def _candidates(placed: DataFrame, percent: int) -> DataFrame:
             common = ((head == head[0]) & (head[0] != 0)).all(0)
             own = int(common.argmax()) if common.any() else -1
             split = side[a:b].min() != side[a:b].max()
-            for i, j in near(sketch[:, 2 * HEAD :], size[a:b], percent):
+            best = np.full(b - a, 1 << 30)
+            mate = np.full(b - a, -1)
+            for i, j, h in near(sketch[:, 2 * HEAD :], size[a:b], percent):
                 # In a cell of two blocks, pairs within a block belong to the block's own cell.
                 kept = (root[a + i] != root[a + j]) & ((side[a + i] != side[a + j]) | (not split))
-                i, j = i[kept], j[kept]
-                if len(i):
-                    same = (head[i] == head[j]) & (head[i] != 0)
-                    before = same[:, : max(own, 0)].sum(1) if own >= 0 else same.sum(1)
-                    out_a.append(node[a + i[before < 3]])
-                    out_b.append(node[a + j[before < 3]])
-        left = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        right = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right))], names=["node", "pivot"])
-
-    return placed.mapInArrow(run, "node long, pivot long").distinct()
-
-
+                i, j, h = i[kept], j[kept], h[kept]
+                if not len(i):
+                    continue
+                if nearest:
+                    x, y, h = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((h, h))
+                    order = np.lexsort((y, h, x))
+                    top = order[runs(x[order])]
+                    better = top[h[top] < best[x[top]]]
+                    best[x[better]], mate[x[better]] = h[better], y[better]
+                    continue
+                same = (head[i] == head[j]) & (head[i] != 0)
+                before = same[:, : max(own, 0)].sum(1) if own >= 0 else same.sum(1)
+                out_a.append(node[a + i[before < 3]])
+                out_b.append(node[a + j[before < 3]])
+                out_h.append(h[before < 3])
+            if nearest:
+                got = np.flatnonzero(mate >= 0)
+                out_a.append(node[a + got])
+                out_b.append(node[a + mate[got]])
+                out_h.append(best[got])
+        left, right, apart = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, out_h))
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (left, right, apart)], names=["node", "pivot", "apart"])
+
+    found = placed.mapInArrow(run, "node long, pivot long, apart long")
+    if nearest:
+        found = found.groupBy("node").agg(F.min(F.struct("apart", "pivot")).alias("m")).select("node", F.col("m.pivot").alias("pivot"))
+    return found.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
 def _place(members: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of regions with several roots, with their sketches, a region to a cell; regions of more than BLOCK members
     are dealt into cells of two blocks each, so no task holds more than two blocks of one region."""
@@ -300,10 +318,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     2. Nodes that share a signature form a region; equal regions are one. Linked nodes meet in a region, as sketches()
        loses none.
     3. In each region the least node is the pivot. First each node is measured against the pivot that it meets in most
-       regions. Then, among nodes that these links leave apart, all near pairs are measured: sketches
-       live in a metric space in which linked nodes are near, and large regions are cut there by pivots and windows
-       (near()). So a link is either measured or joins nodes that are joined already, and groups of copies cost a few
-       pairs for each copy.
+       regions. Then, among nodes that these links leave apart, each is measured against the nearest one, and last all
+       near pairs that are still apart: sketches live in a metric space in which linked nodes are near, and large regions
+       are cut there by pivots and windows (near()). So a link is either measured or joins nodes that are joined already,
+       and groups of copies cost a few pairs for each copy.
     4. Measuring takes whole sets, exactly; links give components.
 
     Null and empty texts link with nothing. Null keys never name a component unless all of its keys are null. Repeated
@@ -324,14 +342,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     met = members.where("node <> pivot").groupBy("node", "pivot").agg(F.sum("shared").alias("shared"))
     pairs = met.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("most")).select("node", F.col("most.pivot").alias("pivot"))
     first = materialize(_measure(pairs, texts, n, percent))
-    links = first.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    roots = materialize(components(links))
+    roots = materialize(components(first.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
     tried = first.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
-    rest = _candidates(_place(members, lines, roots), percent).join(tried, ["node", "pivot"], "left_anti")
-    second = materialize(_measure(rest, texts, n, percent)).where("linked")
-    if not second.isEmpty():
-        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(joined.unionByName(second.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
+    for nearest in (True, False):
+        rest = _candidates(_place(members, lines, roots), percent, nearest).join(tried, ["node", "pivot"], "left_anti")
+        more = materialize(_measure(rest, texts, n, percent))
+        tried = tried.unionByName(more.select("node", "pivot"))
+        linked = more.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        if not linked.isEmpty():
+            roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked)))
     named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("_key").alias("component_id"))
     classes = materialize(named.join(smallest, "root").select("node", "component_id"))

@@ -230,9 +230,9 @@ def test_near_with_pivots(monkeypatch):
     bits = base[rng.integers(0, 6, 300)]
     bits[np.arange(300), rng.integers(0, 16, 300)] ^= rng.integers(0, 4, 300, dtype=np.uint8)
     size = np.full(300, 60)
-    whole = {(min(i, j), max(i, j)) for a, b in jaccard.near(bits, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    whole = {(min(i, j), max(i, j)) for a, b, _ in jaccard.near(bits, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     monkeypatch.setattr(jaccard, "CELL", 50)
-    cells = {(min(i, j), max(i, j)) for a, b in jaccard.near(bits, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    cells = {(min(i, j), max(i, j)) for a, b, _ in jaccard.near(bits, size, 85) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     assert cells == whole and whole
 
 
