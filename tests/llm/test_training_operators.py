@@ -379,6 +379,20 @@ def test_near_passages(spark, empty):
     assert compact_windows.near_passages(empty).count() == 0
 
 
+def test_near_passages_with_minima_that_other_texts_hold(spark):
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, rows = own(30), []
+    for k in range(60):
+        passage = own(15) + line + own(15)
+        rows += [(2 * k, own(60) + passage + own(60)), (2 * k + 1, own(90) + passage + own(30))]
+    rows += [(1000 + k, own(60) + line + own(60)) for k in range(400)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {tuple(sorted((r.doc_id, r.match_doc_id))) for r in compact_windows.near_passages(frame).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(60)}
+    assert len(got) >= 54  # all but those with all four minima in the line
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------
 
 
