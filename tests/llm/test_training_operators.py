@@ -393,6 +393,26 @@ def test_near_passages_with_minima_that_other_texts_hold(spark):
     assert len(got) >= 54  # all but those with all four minima in the line
 
 
+def test_near_passages_that_one_text_holds_several_times(spark):
+    rng = random.Random(12)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        passage = own(60)
+        rows += [(2 * k, own(300) + passage + own(900) + passage + own(300)), (2 * k + 1, own(80) + passage + own(80))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {tuple(sorted((r.doc_id, r.match_doc_id))) for r in compact_windows.near_passages(frame).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
+def test_intervals_keep_several_open_ranges(spark):
+    box = lambda low, high: (low << 29) | high
+    pairs = [(2, 1, box(10, 70), box(100, 160)), (2, 1, box(10, 70), box(900, 960)), (2, 1, box(11, 70), box(101, 160)), (2, 1, box(12, 72), box(901, 962)), (2, 1, box(80, 140), box(100, 160))]
+    frame = spark.createDataFrame(pairs, "tid long, other long, box long, obox long").coalesce(1).sortWithinPartitions("tid", "other", "box", "obox")
+    got = sorted(tuple(r) for r in compact_windows._join_intervals(frame).collect())
+    assert got == [(2, 1, 10, 70, 100, 160), (2, 1, 10, 72, 900, 962), (2, 1, 80, 140, 100, 160)]
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------
 
 
