@@ -63,8 +63,9 @@ class Engine:
         split = split or next((c for c in df.columns if any(s in c.lower() for s in ("split", "fold", "partition"))), None)
         dates = [c for c, kind in df.dtypes if kind.startswith("timestamp") or kind == "date"]
         times = [c for c in found["temporal"] if dict(df.dtypes)[c] != "string"]
+        sequences = [c for c in found["temporal"] if any(s in c.lower() for s in ("frame", "clip", "sequence"))][:3]
         entities = [c for c in found["grouping"] if c != split][:5]
-        return readers.json_safe(leakage.build_report(df, next(iter(found["path"]), None), eda.primary_column(unique, [c for c in found["label"] if c != split]), split, entities, next(iter(times), None), next(iter(dates), None), row_id, self.t))
+        return readers.json_safe(leakage.build_report(df, next(iter(found["path"]), None), eda.primary_column(unique, [c for c in found["label"] if c != split]), split, entities, next(iter(times), None), next(iter(dates), None), row_id, self.t, sequences))
 
     def markdown(self, summary: dict | None = None, report: dict | None = None) -> str:
         return "\n".join(([summary_markdown(summary)] if summary else []) + ([leakage_markdown(report)] if report else []))

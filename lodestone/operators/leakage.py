@@ -161,31 +161,40 @@ def overall_risk(scores: DataFrame, score: str = "severity_score") -> DataFrame:
     return scores.agg(value.alias("overall_severity_score")).select("*", risk_level(F.col("overall_severity_score")).alias("overall_risk_level"))
 
 
-def build_report(df: DataFrame, path: str | None = None, label: str | None = None, split: str | None = None, entities: Sequence[str] = (), time: str | None = None, date: str | None = None, row_id: str | None = None, t: Thresholds = DEFAULTS) -> dict:
-    """All checks in a fixed order as a JSON tree; those without their columns are not assessable and score 0."""
+def build_report(df: DataFrame, path: str | None = None, label: str | None = None, split: str | None = None, entities: Sequence[str] = (), time: str | None = None, date: str | None = None, row_id: str | None = None, t: Thresholds = DEFAULTS, sequences: Sequence[str] = ()) -> dict:
+    """All checks in a fixed order as a JSON tree; those without their columns are not assessable and score 0.
+
+    A check's severity is the largest over all its findings; the 100 riskiest are listed."""
     checks: list[dict] = []
 
-    def add(kind: str, found: DataFrame | None, score: str | None = "severity_score") -> None:
-        details = [] if found is None else [r.asDict() for r in found.limit(100).collect()]
-        value = max((float(d[score] or 0) for d in details), default=0.0) if score else 0.0
+    def add(kind: str, *found: DataFrame | None, score: str = "severity_score") -> None:
+        parts = [f for f in found if f is not None]
+        tops = [f.agg(F.max(F.col(score).cast("double"))).head()[0] for f in parts]
+        value = max((x for x in tops if x is not None), default=0.0)
+        # Ties go by all columns, so that runs list the same findings.
+        details = [r.asDict() for f in parts for r in f.orderBy(F.col(score).desc_nulls_last(), *[F.col(q(c)) for c in f.columns]).limit(100).collect()]
+        details = sorted(details, key=lambda d: -(d[score] or 0))[:100]
         level = "high" if value >= t.risk_high else "medium" if value >= t.risk_medium else "low"
-        checks.append({"risk_type": kind, "severity_score": round(value, 3), "risk_level": level, "details": details, "notes": [] if found is not None else ["not assessable"]})
+        checks.append({"risk_type": kind, "severity_score": round(value, 3), "risk_level": level, "details": details, "notes": [] if parts else ["not assessable"]})
 
     add("duplicates", duplicates(df))
-    overlap = None
-    for e in entities if split else ():
-        one = split_overlap(df, e, split)
-        overlap = one if overlap is None else overlap.unionByName(one)
-    add("split_entity_overlap", overlap)
-    add("path_label_shortcuts", path_label_shortcuts(df, path, label, t) if path and label else None, "risk")
+    add("split_entity_overlap", *[split_overlap(df, e, split) for e in entities if split])
+    add("path_label_shortcuts", path_label_shortcuts(df, path, label, t) if path and label else None, score="risk")
     others = [c for c in df.columns if c not in {path, label, split, row_id, *entities}]
-    add("proxy_features", categorical_proxies(df, others, label, t) if label and others else None, "purity")
-    add("temporal_overlap", interval_overlap(df, split, time, time) if split and time else None)
-    add("missing_group_keys", missing_group_keys(df, list(entities), t) if entities else None, "missing_rate")
     numbers = [c for c in others if is_numeric(df, c)]
-    add("ts_normalization_leakage", normalization_leak(df, numbers, split, t) if split and numbers else None, "max_split_mean")
-    add("ts_window_boundary_leakage", boundary_gaps(df, time, split, t) if split and time else None)
-    add("ts_seasonal_distribution_shift", seasonal_shift(df, date, split, t) if split and date else None, "js_divergence")
+    proxies = [categorical_proxies(df, others, label, t)] if label and others else []
+    if label and numbers:
+        # Without a row_id ties go by a hash of the row: rows that it can't tell apart have equal labels.
+        hashed = F.xxhash64(*[F.to_json(F.struct(q(c))) for c in df.columns])
+        proxies.append(numeric_proxies(df if row_id else df.withColumn("_row", hashed), numbers, label, row_id or "_row", t))
+    add("proxy_features", *proxies, score="purity")
+    shared = [split_overlap(df, c, split, 1.5) for c in sequences if split]
+    add("temporal_overlap", interval_overlap(df, split, time, time) if split and time else None, *shared)
+    add("missing_group_keys", missing_group_keys(df, list(entities), t) if entities else None, score="missing_rate")
+    add("ts_normalization_leakage", normalization_leak(df, numbers, split, t) if split and numbers else None, score="max_split_mean")
+    order = [split_interleaving(df if row_id else df.withColumn("_row", F.col(q(split)).cast("string")), time, split, row_id or "_row"), boundary_gaps(df, time, split, t)] if split and time else []
+    add("ts_window_boundary_leakage", *order)
+    add("ts_seasonal_distribution_shift", seasonal_shift(df, date, split, t) if split and date else None, score="js_divergence")
     scores = [c["severity_score"] for c in checks]
     top, mean = max(scores), sum(scores) / len(scores)
     overall = 0.0 if top == 0 else max(top, min(mean + 0.1, 1.0))

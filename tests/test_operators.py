@@ -90,6 +90,22 @@ def test_planted_leaks_and_clean_twins(spark):
     assert report["summary"]["overall_risk_level"] == "high" and len(report["checks"]) == 9
 
 
+def test_report_takes_severity_over_all_findings(spark):
+    # 150 tokens of purity 0.9 and one of purity 1, an n that gives the label away, splits that interleave, shared clips.
+    paths = [(10 * k + j, f"tok{k:03d}x/a.mp4", "p" if j else "r") for k in range(150) for j in range(10)] + [(1500 + j, "zz/sure.mp4", "p") for j in range(10)]
+    rows = [(i, p, x, float(i) + (10000.0 if x == "p" else 0.0), "train" if i % 2 else "test", i // 2) for i, p, x in paths]
+    df = spark.createDataFrame(rows, "i int, path string, label string, n double, split string, clip int").repartition(7, "n")
+    report = leakage.build_report(df, "path", "label", "split", time="n", row_id="i", sequences=["clip"])
+    checks = {c["risk_type"]: c for c in report["checks"]}
+    shortcuts = checks["path_label_shortcuts"]
+    assert shortcuts["severity_score"] == 1.0 and shortcuts["details"][0]["token"] in {"sure", "zz"} and len(shortcuts["details"]) == 100
+    assert "n" in {d["column_name"] for d in checks["proxy_features"]["details"]} and checks["proxy_features"]["severity_score"] >= 0.95
+    assert checks["ts_window_boundary_leakage"]["severity_score"] >= 0.8
+    assert any(d.get("overlapping_entities") for d in checks["temporal_overlap"]["details"])
+    again = leakage.build_report(df, "path", "label", "split", time="n", sequences=["clip"])
+    assert {c["risk_type"]: c["severity_score"] for c in again["checks"]}["ts_window_boundary_leakage"] >= 0.8
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(n=st.integers(11, 60))
 def test_deciles_are_even(spark, n):
