@@ -468,6 +468,24 @@ def test_statistics(docs):
     assert got == sorted(want)
 
 
+def test_forest_sees_repeats_lines_and_digits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    menu = [word() for _ in range(10)]
+    clean = docs.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").head()["text"]
+    texts = {
+        "menu": "\n".join(rng.choice(menu) for _ in range(300)),
+        "pairs and menu": "\n".join([f"{word()} {word()}" for _ in range(40)] + [rng.choice(menu) for _ in range(120)]),
+        "clean and menu": clean + "\n" + "\n".join(rng.choice(menu) for _ in range(200)),
+        "digits": " ".join(str(rng.randrange(10**6)) for _ in range(300)),
+    }
+    forest = quality.fit(docs, labels)
+    rows = {r.doc_id: r for r in quality.apply_rules(spark.createDataFrame([*texts.items(), ("clean", clean)], "doc_id string, text string"), forest).collect()}
+    assert not any(r.base_failed for r in rows.values()) and {k for k, r in rows.items() if r.kept} == {"clean"}
+
+
 def test_forest_rejects_planted_junk_and_keeps_clean(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
