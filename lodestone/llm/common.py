@@ -67,6 +67,46 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
             first = last
 
 
+#: Bits of a sieve: SIEVE_EACH a key, and SIEVE_MOST (32 MB) in all; with very many keys it holds back less.
+SIEVE_EACH, SIEVE_MOST = 16, 1 << 28
+
+
+class Sieve:
+    """A Bloom filter over 64-bit hashes: passes all hashes that it was made of, and few others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(hashes: np.ndarray, size: int) -> np.ndarray:
+        hashes = hashes.view(np.uint64)
+        return np.stack([mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(size - 1) for k in range(4)]).astype(np.int64)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.places(hashes, 8 * len(self.bits))
+        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0) if len(hashes) else np.zeros(0, bool)
+
+
+def sieve(hashes: DataFrame):
+    """A broadcast Sieve of a column of longs. Tasks set bits in blocks of 4 KB, which Spark unites; the driver sees the
+    bits alone, SIEVE_MOST at most. What passes is to be joined exactly."""
+    spark = hashes.sparkSession
+    size = 1 << 15
+    while size < min(SIEVE_MOST, SIEVE_EACH * hashes.count()):
+        size *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(Sieve.places(batch.column(0).to_numpy(), size).ravel())], names=["at"])
+
+    block, place = F.shiftright("at", 15), F.col("at").bitwiseAND(F.lit((1 << 15) - 1))
+    found = hashes.mapInArrow(run, "at long").groupBy(block.alias("block")).agg(F.bitmap_construct_agg(place).alias("bits")).toArrow()
+    bits = np.zeros(size // 8, np.uint8)
+    for at, part in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        bits[at << 12 : (at + 1) << 12] = np.frombuffer(part, np.uint8)
+    return spark.sparkContext.broadcast(Sieve(bits))
+
+
 class Words:
     """Words of several texts at once: start and end in the bytes, and the row they belong to."""
 

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact signatures, pivots with triangle-inequality windows, and recursion."""
+"""N-gram Jaccard join: an exact cut by signatures, Voronoi regions of pivots with triangle-inequality windows, recursion."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, fold, grams, materialize, mix, prefix_hash, range_hash, runs, steps
+from .common import Words, fold, grams, materialize, mix, prefix_hash, range_hash, runs, sieve, steps
 from .components import components
 
 
@@ -48,10 +47,14 @@ def farthest(size: np.ndarray, percent: int) -> np.ndarray:
 
 #: Members of a region that are compared all with all in one step; larger regions are cut by pivots.
 CELL = 2048
-#: Cells of parts that tell in which of its regions a pair is returned.
-HEAD = 32
-#: Members of a region in one task; larger regions are dealt into pairs of blocks.
-BLOCK = 20000
+#: First parts of a set, whole, that tell in which of its regions a pair is looked at.
+HEAD = 8
+#: Members of a region in one task, and shingles of these; larger regions are dealt into pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 8192, 1 << 22
+#: Nodes that a task remembers, to send a set that it has met before once only.
+REMEMBERED = 1 << 20
+#: Members of an exact region that are compared one by one, without pivots.
+LEAF = 32
 
 
 def level_of(size: np.ndarray) -> np.ndarray:
@@ -126,29 +129,59 @@ def parities(value: np.ndarray, starts: np.ndarray, level: np.ndarray) -> tuple[
 
 
 def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
-    """Per row and level: key, node, size, level and signatures. A row without shingles has one line with null node."""
+    """Per row and level: key, node, n (size of the set), own (the row's own level), level, signatures and sketch: the
+    first HEAD parts, and the parities of the classes. A row without shingles has one line with a null node; one whose set
+    the task has met before has one line without signatures and sketch."""
     kind = docs.select(key).schema[0].dataType.simpleString()
-    names = [key, "node", "n", "level", "signatures"]
+    names = [key, "node", "n", "own", "level", "signatures", "sketch"]
+
+    def bare(keys: pa.Array, rows: np.ndarray, node: pa.Array, size: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.list_(pa.int64()), pa.binary())]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(size[rows]), pa.array(np.ones(len(rows), bool)), *none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int | None] = {None}
         for batch, data, offsets in steps(batches, text, 2 << 20):
             value, starts = shingles(data, offsets, n)
-            node, size, keys = _nodes(value, starts), np.diff(starts), batch.column(batch.schema.get_field_index(key))
-            empty = np.flatnonzero(size == 0)
-            if len(empty):
-                none = [pa.nulls(len(empty), t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(empty)), none[0], pa.array(size[empty], pa.int64()), *none[1:]], names=names)
-            for who, at, bounds, sketch, sig_row, sig_part in sketches(value, starts, percent):
+            names_, size, keys = _nodes(value, starts), np.diff(starts), batch.column(batch.schema.get_field_index(key))
+            node, fresh = pa.array(names_, pa.int64()), []
+            for row, name in enumerate(names_):
+                if name not in met:
+                    fresh.append(row)
+                    if len(met) < REMEMBERED:
+                        met.add(name)
+            rest = np.ones(len(size), bool)
+            rest[fresh] = False
+            if rest.any():
+                yield bare(keys, np.flatnonzero(rest), node, size)
+            if not fresh:
+                continue
+            chosen = np.array(fresh)
+            value, starts = value[_ranges_of(starts[chosen], size[chosen])], np.concatenate(([0], np.cumsum(size[chosen])))
+            for extra, (who, at, bounds, cells, sig_row, sig_part) in enumerate(sketches(value, starts, percent)):
                 order = np.argsort(sig_row, kind="stable")
                 sig_row, sig_part = sig_row[order], sig_part[order]
-                cell = sketch[np.maximum(bounds[sig_row] + sig_part, 0)]
+                cell = cells[np.maximum(bounds[sig_row] + sig_part, 0)]
                 cell[sig_part < 0] = 0
                 signature = mix(cell + mix((sig_part + 1).astype(np.uint64) * np.uint64(64) + at[sig_row].astype(np.uint64)))
-                sig_bounds = np.searchsorted(sig_row, np.append(who, len(size)))
-                listed = pa.ListArray.from_arrays(pa.array(sig_bounds, pa.int32()), pa.array(signature.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(who)), pa.array([node[k] for k in who], pa.int64()), pa.array(size[who], pa.int64()), pa.array(at[who].astype(np.int32)), listed], names=names)
+                listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(sig_row, np.append(who, len(chosen))), pa.int32()), pa.array(signature.view(np.int64)))
+                bits, places = parities(value, starts, np.where(np.isin(np.arange(len(chosen)), who), at, 0))
+                out = []
+                for k in who.tolist():
+                    head = np.zeros(HEAD, np.uint64)
+                    own = cells[bounds[k] : bounds[k + 1]][:HEAD]
+                    head[: len(own)] = own
+                    out.append(head.tobytes() + bits[places[k] : places[k + 1]].tobytes())
+                rows = pa.array(chosen[who])
+                columns = [keys.take(rows), node.take(rows), pa.array(size[chosen[who]]), pa.array(np.full(len(who), extra == 0)), pa.array(at[who].astype(np.int32)), listed, pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, own boolean, level int, signatures array<long>, sketch binary")
+
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, level int, signatures array<long>")
+def _ranges_of(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start..start + size of several ranges, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def _nodes(value: np.ndarray, starts: np.ndarray) -> list[int | None]:
@@ -157,47 +190,27 @@ def _nodes(value: np.ndarray, starts: np.ndarray) -> list[int | None]:
     return [int.from_bytes(hashlib.md5(raw[8 * a : 8 * b]).digest()[:8], "big", signed=True) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int, percent: int) -> DataFrame:
-    """One text of each wanted node (key, node): node, n, the packed text, and on each of its levels a sketch: the first
-    HEAD cells of its parts, two bytes each, and the parities of its classes.
-
-    Texts are packed before they move, as a packed text is much smaller than the set of its shingles."""
+def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame, n: int) -> DataFrame:
+    """One packed text of each wanted node (key, node): node, packed. Only texts whose key passes a sieve of the wanted
+    ones move, packed."""
     kind = docs.select(key).schema[0].dataType.simpleString()
+    wanted = materialize(wanted.withColumn("_hash", F.xxhash64("_key")))
+    held = sieve(wanted.select("_hash"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for batch, data, offsets in steps(batches, text):
-            raw = data.tobytes()
-            packed = [packer.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(packed, pa.binary())], names=["_key", "packed"])
-
-    def sketch_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for whole in batches:
-            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                texts = [unpacker.decompress(x) for x in batch.column(1).to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
-                value, starts = shingles(np.frombuffer(b"".join(texts), np.uint8), offsets, n)
-                # A key may have other texts than the wanted node's.
-                right = np.array([x == y for x, y in zip(_nodes(value, starts), batch.column(0).to_pylist(), strict=True)], bool)
-                size = np.diff(starts)
-                for who, at, bounds, sketch, _, _ in sketches(value, starts, percent):
-                    bits, places = parities(value, starts, np.where(np.isin(np.arange(len(size)), who), at, 0))
-                    cells = (sketch >> np.uint64(48)).astype("<u2")
-                    out_sketch = []
-                    for k in who.tolist():
-                        head = np.zeros(HEAD, "<u2")
-                        own = cells[bounds[k] : bounds[k + 1]][:HEAD]
-                        head[: len(own)] = own
-                        out_sketch.append(head.tobytes() + bits[places[k] : places[k + 1]].tobytes())
-                    lower = pa.array(at[who] == level_of(size[who]))
-                    out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(size[who], pa.int64()), pc.if_else(lower, batch.column(1).take(pa.array(who)), pa.scalar(None, pa.binary())), pa.array(at[who].astype(np.int32)), pa.array(out_sketch, pa.binary())], names=["node", "n", "packed", "level", "sketch"])
-                    yield out.filter(pa.array(right[who]))
-
-    packed = docs.select(key, text).mapInArrow(pack, f"_key {kind}, packed binary")
-    found = packed.join(wanted.withColumnRenamed("_key", "_wanted"), F.col("_key").eqNullSafe(F.col("_wanted")))
-    one = found.select("node", "packed").distinct()
-    return one.mapInArrow(sketch_, "node long, n long, packed binary, level int, sketch binary")
+            chosen = whole.filter(pa.array(held.value.holds(whole.column(2).to_numpy())))
+            for batch, data, offsets in steps(iter([chosen]), text):
+                raw, value_starts = data.tobytes(), shingles(data, offsets, n)
+                packed = [packer.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_nodes(*value_starts), pa.int64()), pa.array(packed, pa.binary())], names=["_key", "_node", "packed"])
+
+    rows = docs.select(F.col(key), F.col(text), F.xxhash64(F.col(key)).alias("_hash"))
+    packed = rows.mapInArrow(pack, f"_key {kind}, _node long, packed binary")
+    # A key may have other texts than the wanted node's.
+    found = packed.join(wanted.select("node"), F.col("_node") == F.col("node"), "left_semi")
+    return found.groupBy(F.col("_node").alias("node")).agg(F.min("packed").alias("packed"))
 
 
 def near(bits: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -230,83 +243,148 @@ def near(bits: np.ndarray, size: np.ndarray, percent: int, depth: int = 0) -> It
         yield i + a, j, differ[i, j]
 
 
-def _candidates(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Near pairs of nodes with different roots, from cells whose members stand together in a partition: of each node the
-    nearest alone, or all.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one cell after the other; those of a cell stand together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = batch.column(0).to_numpy()
+        heads = np.append(runs(cells), len(cells))
+        if held and held[0].column(0)[0].as_py() != cells[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < len(cells):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _place(members: DataFrame, sketches_: DataFrame) -> DataFrame:
+    """Members of regions with their sketches, a region to a cell; regions of more than a block's members are dealt into
+    cells of two blocks each, so no task holds more than two blocks of one region."""
+    block = F.greatest(F.lit(min(BLOCK, 64)), F.least(F.lit(BLOCK), F.expr(f"shiftright({BLOCK_SHINGLES}, level)")))
+    counted = members.groupBy("region").agg(F.count("*").alias("members"))
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    side = F.pmod(F.col("node"), blocks).cast("int")
+    mates = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("region", F.least(k, side), F.greatest(k, side)))
+    dealt = members.join(counted, "region").select("node", "level", side.alias("side"), F.explode(mates).alias("cell"))
+    joined = dealt.join(sketches_, ["node", "level"])
+    return joined.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "n", "side", "sketch")
+
+
+def _near_members(placed: DataFrame, percent: int) -> DataFrame:
+    """Members (cell, node, side) with a near partner, by sketches, from cells whose members stand together.
 
-    A pair may share many regions. It is returned in those of the first three parts that both share (three, as a cell has
-    two bytes and may agree by chance); pairs that share none of the first parts, in all of theirs."""
+    A pair may share many regions. It is looked at in that of the first part which both share (linked sets use that part
+    both: of the first d + 1 parts that either fills, one is equal); pairs that share none of the first HEAD parts, in all
+    of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            cells = held["cell"].to_numpy()
-            last = np.flatnonzero(cells != cells[-1])
-            if len(last):  # all but the last cell, which may go on
-                yield one(held.slice(0, int(last[-1]) + 1))
-                held = held.slice(int(last[-1]) + 1)
-        if held is not None and held.num_rows:
-            yield one(held)
-
-    def one(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        cell, node, size, root, side = (table[c].to_numpy() for c in ("cell", "node", "n", "root", "side"))
-        raw = table["sketch"].to_pylist()
-        heads = np.append(runs(cell), len(cell))
-        out_a, out_b, out_h = [], [], []
-        for a, b in zip(heads[:-1], heads[1:], strict=True):
-            if b - a < 2:
+        for table in _cells(batches):
+            count = table.num_rows
+            if count < 2:
                 continue
-            sketch = np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(b - a, -1)
-            head = np.ascontiguousarray(sketch[:, : 2 * HEAD]).view("<u2")
+            size, side = table["n"].to_numpy(), table["side"].to_numpy()
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(count, -1)
+            head = np.ascontiguousarray(sketch[:, : 8 * HEAD]).view(np.uint64)
             common = ((head == head[0]) & (head[0] != 0)).all(0)
-            own = int(common.argmax()) if common.any() else -1
-            split = side[a:b].min() != side[a:b].max()
-            best = np.full(b - a, 1 << 30)
-            mate = np.full(b - a, -1)
-            for i, j, h in near(sketch[:, 2 * HEAD :], size[a:b], percent):
+            own = int(common.argmax()) if common.any() else HEAD
+            split = side.min() != side.max()
+            hit = np.zeros(count, bool)
+            for i, j, _ in near(sketch[:, 8 * HEAD :], size, percent):
+                same = (head[i, :own] == head[j, :own]) & (head[i, :own] != 0)
                 # In a cell of two blocks, pairs within a block belong to the block's own cell.
-                kept = (root[a + i] != root[a + j]) & ((side[a + i] != side[a + j]) | (not split))
-                i, j, h = i[kept], j[kept], h[kept]
-                if not len(i):
-                    continue
-                if nearest:
-                    x, y, h = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((h, h))
-                    order = np.lexsort((y, h, x))
-                    top = order[runs(x[order])]
-                    better = top[h[top] < best[x[top]]]
-                    best[x[better]], mate[x[better]] = h[better], y[better]
-                    continue
-                same = (head[i] == head[j]) & (head[i] != 0)
-                before = same[:, : max(own, 0)].sum(1) if own >= 0 else same.sum(1)
-                out_a.append(node[a + i[before < 3]])
-                out_b.append(node[a + j[before < 3]])
-                out_h.append(h[before < 3])
-            if nearest:
-                got = np.flatnonzero(mate >= 0)
-                out_a.append(node[a + got])
-                out_b.append(node[a + mate[got]])
-                out_h.append(best[got])
-        left, right, apart = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, out_h))
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (left, right, apart)], names=["node", "pivot", "apart"])
-
-    found = placed.mapInArrow(run, "node long, pivot long, apart long")
-    if nearest:
-        found = found.groupBy("node").agg(F.min(F.struct("apart", "pivot")).alias("m")).select("node", F.col("m.pivot").alias("pivot"))
-    return found.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
-def _place(members: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of regions with several roots, with their sketches, a region to a cell; regions of more than BLOCK members
-    are dealt into cells of two blocks each, so no task holds more than two blocks of one region."""
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.groupBy("region").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("members")).where("_lo <> _hi").select("region", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    side = F.pmod(F.col("node"), blocks).cast("int")
-    mates = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("region", F.least(k, side), F.greatest(k, side)))
-    dealt = rooted.join(open_, "region").select("node", "level", "root", side.alias("side"), F.explode(mates).alias("cell"))
-    joined = dealt.join(lines.select("node", "level", "n", "sketch"), ["node", "level"])
-    return joined.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "n", "root", "side", "sketch")
+                kept = ~same.any(1) & ((side[i] != side[j]) | (not split))
+                hit[i[kept]] = True
+                hit[j[kept]] = True
+            if hit.any():
+                yield from table.select(["cell", "node", "side"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return placed.mapInArrow(run, "cell long, node long, side int")
+
+
+class Region:
+    """Sets of one cell, and the links among them that are found so far."""
+
+    def __init__(self, value: np.ndarray, starts: np.ndarray, side: np.ndarray, percent: int):
+        self.flat = np.unique(value, return_inverse=True)[1].astype(np.int32)
+        self.starts, self.size, self.side, self.percent = starts, np.diff(starts), side, percent
+        self.mark = np.zeros(int(self.flat.max(initial=-1)) + 1, bool)
+        self.root = np.arange(len(self.size))
+        self.split = side.min() != side.max()
+        self.links: list[tuple[int, int]] = []
+
+    def measure(self, pivot: int, others: np.ndarray) -> np.ndarray:
+        """Jaccard distances of the others from the pivot; those that link are joined with it."""
+        own = self.flat[self.starts[pivot] : self.starts[pivot + 1]]
+        self.mark[own] = True
+        held = self.mark[self.flat[_ranges_of(self.starts[others], self.size[others])]]
+        shared = np.add.reduceat(held, np.cumsum(self.size[others]) - self.size[others], dtype=np.int64)
+        self.mark[own] = False
+        either = self.size[others] + self.size[pivot] - shared
+        for k in others[100 * shared >= self.percent * either].tolist():
+            if self.root[k] != self.root[pivot]:
+                self.links.append((pivot, k))
+                self.root[self.root == self.root[k]] = self.root[pivot]
+        return 1 - shared / either
+
+    def join(self, members: np.ndarray, depth: int = 0) -> None:
+        """Finds links until all linked members have one root.
+
+        Each member belongs to the region of its nearest pivot (a Voronoi region), and to those whose pivot is at most
+        2 t farther (t: the largest distance of linked sets). Linked sets are t apart at most, so both ends of a link
+        stand in the nearest region of either. Regions join in the same way. Where windows are as wide as the whole
+        region, its members become pivots one by one, each measured against those that the triangle inequality leaves."""
+        if len(members) < 2 or (self.root[members] == self.root[members[0]]).all():
+            return
+        most = 1 - self.percent / 100 + 1e-9
+        away = np.zeros((len(members), 0))
+        if len(members) > LEAF and depth < 8:
+            pivots = members[np.linspace(0, len(members) - 1, min(16, len(members) // LEAF + 1)).astype(int)]
+            away = np.stack([self.measure(int(p), members) for p in pivots], 1)
+            inside = away <= away.min(1, keepdims=True) + 2 * most
+            if inside.sum() < 1.5 * len(members):
+                for k in range(len(pivots)):
+                    self.join(members[inside[:, k]], depth + 1)
+                return
+        for k in range(len(members) - 1):
+            one, rest = int(members[k]), members[k + 1 :]
+            small, large = np.minimum(self.size[rest], self.size[one]), np.maximum(self.size[rest], self.size[one])
+            open_ = (self.root[rest] != self.root[one]) & (100 * small >= self.percent * large)
+            if self.split:
+                open_ &= self.side[rest] != self.side[one]
+            open_ &= (np.abs(away[k + 1 :] - away[k]) <= most).all(1)
+            if open_.any():
+                self.measure(one, rest[open_])
+
+
+def _join_cells(placed: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes, from cells whose members stand together with their packed texts: as many as join all linked
+    members, fewer than members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for table in _cells(batches):
+            if table.num_rows < 2:
+                continue
+            node, values, sizes = table["node"].to_numpy(), [], []
+            for k in range(0, table.num_rows, 200):
+                texts = [unpacker.decompress(x) for x in table["packed"].slice(k, 200).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+                value, starts = shingles(np.frombuffer(b"".join(texts), np.uint8), offsets, n)
+                values.append(value)
+                sizes.append(np.diff(starts))
+            region = Region(np.concatenate(values), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), table["side"].to_numpy(), percent)
+            region.join(np.arange(table.num_rows))
+            if region.links:
+                a, b = np.array(region.links).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, percent: int = 85) -> DataFrame:
@@ -316,13 +394,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
 
     1. Documents with equal sets become one node; nodes are 64-bit hashes of sets of 64-bit shingle hashes.
     2. Nodes that share a signature form a region; equal regions are one. Linked nodes meet in a region, as sketches()
-       loses none.
-    3. In each region the least node is the pivot. First each node is measured against the pivot that it meets in most
-       regions. Then, among nodes that these links leave apart, each is measured against the nearest one, and last all
-       near pairs that are still apart: sketches live in a metric space in which linked nodes are near, and large regions
-       are cut there by pivots and windows (near()). So a link is either measured or joins nodes that are joined already,
-       and groups of copies cost a few pairs for each copy.
-    4. Measuring takes whole sets, exactly; links give components.
+       loses none. Jaccard distances of documents are 1 almost everywhere, so this exact cut comes before any pivot.
+    3. Sketches live in a metric space in which linked nodes are near; near() tells which members of a region may have a
+       partner there. Only the texts of these move.
+    4. Each region joins recursively around pivots, on whole sets (Region), and returns links that join all its linked
+       members, fewer than these; the links of all regions give the components.
 
     Null and empty texts link with nothing. Null keys never name a component unless all of its keys are null. Repeated
     rows and further columns are harmless.
@@ -333,54 +409,17 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     group = Window.partitionBy("signature")
     lowest, highest = F.min("node").over(group), F.max("node").over(group)
     region = F.xxhash64("level", F.bit_xor("node").over(group), F.sum(F.pmod("node", F.lit((1 << 31) - 1))).over(group), F.count("*").over(group), lowest, highest)
-    grouped = exploded.select("node", "level", region.alias("region"), lowest.alias("pivot"), highest.alias("_high")).where("pivot <> _high")
-    members = materialize(grouped.groupBy("region", "node", "level", "pivot").agg(F.count("*").alias("shared")))
+    grouped = exploded.select("node", "level", region.alias("region"), lowest.alias("_low"), highest.alias("_high")).where("_low <> _high")
+    members = materialize(grouped.select("region", "node", "level").distinct())
+    sketched = filled.where("sketch is not null").groupBy("node", "level").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    near_ = materialize(_near_members(_place(members, sketched), percent))
     keys = filled.groupBy("node").agg(F.min("_key").alias("_key"))
-    wanted = members.select("node").distinct().join(keys, "node")
-    lines = materialize(_texts(docs, text, key, wanted, n, percent))
-    texts = lines.where("packed is not null").select("node", "packed")
-    met = members.where("node <> pivot").groupBy("node", "pivot").agg(F.sum("shared").alias("shared"))
-    pairs = met.groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("most")).select("node", F.col("most.pivot").alias("pivot"))
-    first = materialize(_measure(pairs, texts, n, percent))
-    roots = materialize(components(first.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
-    tried = first.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
-    for nearest in (True, False):
-        rest = _candidates(_place(members, lines, roots), percent, nearest).join(tried, ["node", "pivot"], "left_anti")
-        more = materialize(_measure(rest, texts, n, percent))
-        tried = tried.unionByName(more.select("node", "pivot"))
-        linked = more.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        if not linked.isEmpty():
-            roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked)))
+    texts = _texts(docs, text, key, near_.select("node").distinct().join(keys, "node"), n)
+    whole = near_.join(texts, "node").repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "side", "packed")
+    roots = materialize(components(materialize(_join_cells(whole, n, percent))))
     named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("_key").alias("component_id"))
     classes = materialize(named.join(smallest, "root").select("node", "component_id"))
-    # One line of each row: that of its own level, the lower of its levels.
-    own_level = filled.where(F.col("level") == F.length(F.bin(F.col("n") - 1)) * (F.col("n") > 1).cast("int"))
-    linked = own_level.select("_key", "n", "node").join(classes, "node").select("_key", "n", "component_id")
+    linked = filled.where("own").select("_key", "n", "node").join(classes, "node").select("_key", "n", "component_id")
     alone = table.where("node is null").select("_key", "n", F.col("_key").alias("component_id"))
     return linked.unionByName(alone).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
-
-
-def _measure(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Whether pairs of nodes link, from their whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
-                count = batch.num_rows
-                raw = [unpacker.decompress(x) for k in (2, 3) for x in batch.column(k).to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-                value, starts = shingles(np.frombuffer(b"".join(raw), np.uint8), offsets, n)
-                size = np.diff(starts)
-                pair = np.repeat(np.arange(2 * count) % count, size)
-                order = np.lexsort((value, pair))
-                twice = (value[order][1:] == value[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-                shared = np.bincount(pair[order][1:][twice], minlength=count)
-                either = size[:count] + size[count:] - shared
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(100 * shared >= percent * either)], names=["node", "pivot", "linked"])
-
-    left = texts.select(F.col("node").alias("_a"), F.col("packed").alias("_x"))
-    right = texts.select(F.col("node").alias("_b"), F.col("packed").alias("_y"))
-    joined = pairs.join(left, F.col("node") == F.col("_a")).join(right, F.col("pivot") == F.col("_b"))
-    return joined.select("node", "pivot", "_x", "_y").mapInArrow(run, "node long, pivot long, linked boolean")

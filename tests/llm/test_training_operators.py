@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import compact_windows, components, jaccard, mixing, packing, quality, queries, secrets, suffix_dedup, suffix_tree, warc, winnowing
+from lodestone.llm import common, compact_windows, components, jaccard, mixing, packing, quality, queries, secrets, suffix_dedup, suffix_tree, warc, winnowing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, node string, _key string, mix string, size int"
@@ -236,6 +236,62 @@ def test_near_with_pivots(monkeypatch):
     assert cells == whole and whole
 
 
+def sets_of(rng, groups, members, size, change):
+    sets = []
+    for _ in range(groups):
+        base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for _ in range(members):
+            keep = base[rng.random(len(base)) > change * rng.random()]
+            sets.append(np.unique(np.concatenate((keep, rng.integers(0, 2**63, int(rng.integers(1, max(2, size // 8)))).astype(np.uint64)))))
+    return sets
+
+
+@pytest.mark.parametrize("leaf", [4, 10**6])
+def test_regions_join_around_pivots(monkeypatch, leaf):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    rng = np.random.default_rng(9)
+    sets = sets_of(rng, 12, 25, 90, 0.12) + [np.array([5], np.uint64), np.array([5, 6], np.uint64)]
+    order = rng.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    region = jaccard.Region(np.concatenate(sets), starts, np.zeros(len(sets), int), 85)
+    region.join(np.arange(len(sets)))
+    assert len(region.links) < len(sets) and {(max(x), min(x)) for x in region.links} <= set(links)
+    assert all(region.root[i] == region.root[j] for i, j in links)
+    # Of two blocks, only links between them are looked for, and none is lost.
+    side = rng.integers(0, 2, len(sets))
+    split = jaccard.Region(np.concatenate(sets), starts, side, 85)
+    split.join(np.arange(len(sets)))
+    assert all(split.root[i] == split.root[j] for i, j in links if side[i] != side[j])
+
+
+def test_linked_sets_meet_in_their_first_shared_part():
+    rng = np.random.default_rng(12)
+    seen = 0
+    for _ in range(300):
+        a, b = sets_of(rng, 1, 2, int(rng.integers(8, 150)), 0.1)
+        if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+            continue
+        value, starts = np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])
+        for who, at, bounds, cells, row, part in jaccard.sketches(value, starts, 85):
+            if len(who) == 2 and at[0] == at[1]:
+                x, y = cells[bounds[0] : bounds[1]], cells[bounds[1] : bounds[2]]
+                same = np.flatnonzero((x == y) & (x != 0))
+                if len(same):
+                    seen += 1
+                    assert same[0] in part[row == 0] and same[0] in part[row == 1]
+    assert seen > 50
+
+
+def test_sieve_passes_all_of_its_keys(spark):
+    keys = np.random.default_rng(3).integers(-(2**62), 2**62, 5000)
+    held = common.sieve(spark.createDataFrame([(int(k),) for k in keys], "h long")).value
+    assert held.holds(keys).all() and held.holds(keys + 1).mean() < 0.02
+    assert not common.sieve(spark.createDataFrame([], "h long")).value.holds(keys).any()
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(7)
     for change in (5, 30, 200):
