@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -128,55 +129,71 @@ def parities(value: np.ndarray, starts: np.ndarray, level: np.ndarray) -> tuple[
     return np.packbits((np.bincount(bounds[row] + class_, minlength=bounds[-1]) & 1).astype(bool)), bounds // 8
 
 
-def _levelled(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
-    """Per row and level: key, node, n (size of the set), own (the row's own level), level, signatures and sketch: the
-    first HEAD parts, and the parities of the classes. A row without shingles has one line with a null node; one whose set
-    the task has met before has one line without signatures and sketch."""
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    names = [key, "node", "n", "own", "level", "signatures", "sketch"]
+def _fresh(names: list[int | None], met: set[int | None]) -> np.ndarray:
+    """Rows whose set the task meets for the first time."""
+    out = []
+    for row, name in enumerate(names):
+        if name not in met:
+            out.append(row)
+            if len(met) < REMEMBERED:
+                met.add(name)
+    return np.array(out, np.int64)
+
 
-    def bare(keys: pa.Array, rows: np.ndarray, node: pa.Array, size: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.list_(pa.int64()), pa.binary())]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), node.take(pa.array(rows)), pa.array(size[rows]), pa.array(np.ones(len(rows), bool)), *none], names=names)
+def _signatures(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """Signatures of each set: node, level, signature. A set that a task meets again is not sent again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int | None] = {None}
+        for _, data, offsets in steps(batches, text, 2 << 20):
+            value, starts = shingles(data, offsets, n)
+            names = _nodes(value, starts)
+            fresh, size = _fresh(names, met), np.diff(starts)
+            if not len(fresh):
+                continue
+            node = np.array([names[k] for k in fresh], np.int64)
+            value, starts = value[_ranges_of(starts[fresh], size[fresh])], np.concatenate(([0], np.cumsum(size[fresh])))
+            for _, at, bounds, cells, row, part in sketches(value, starts, percent):
+                cell = cells[np.maximum(bounds[row] + part, 0)]
+                cell[part < 0] = 0
+                signature = mix(cell + mix((part + 1).astype(np.uint64) * np.uint64(64) + at[row].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(at[row].astype(np.int32)), pa.array(signature.view(np.int64))], names=["node", "level", "signature"])
+
+    return docs.select(text).mapInArrow(run, "node long, level int, signature long")
+
+
+def _lines(docs: DataFrame, text: str, key: str, n: int, percent: int, held) -> DataFrame:
+    """A line of each row (`row` true): key, node (null without shingles), size of the set; and one on each level of a set
+    that the sieve `held` passes and that the task meets for the first time: node, n, level, sketch (the first HEAD parts,
+    and the parities of the classes)."""
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    names = [key, "node", "n", "row", "level", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int | None] = {None}
         for batch, data, offsets in steps(batches, text, 2 << 20):
             value, starts = shingles(data, offsets, n)
-            names_, size, keys = _nodes(value, starts), np.diff(starts), batch.column(batch.schema.get_field_index(key))
-            node, fresh = pa.array(names_, pa.int64()), []
-            for row, name in enumerate(names_):
-                if name not in met:
-                    fresh.append(row)
-                    if len(met) < REMEMBERED:
-                        met.add(name)
-            rest = np.ones(len(size), bool)
-            rest[fresh] = False
-            if rest.any():
-                yield bare(keys, np.flatnonzero(rest), node, size)
-            if not fresh:
+            listed, size, keys = _nodes(value, starts), np.diff(starts), batch.column(batch.schema.get_field_index(key))
+            node = pa.array(listed, pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, node, pa.array(size), pa.array(np.ones(len(size), bool)), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=names)
+            passed = np.flatnonzero(held.value.holds(node.fill_null(0).to_numpy()))
+            fresh = passed[_fresh([listed[k] for k in passed], met)] if len(passed) else passed
+            if not len(fresh):
                 continue
-            chosen = np.array(fresh)
-            value, starts = value[_ranges_of(starts[chosen], size[chosen])], np.concatenate(([0], np.cumsum(size[chosen])))
-            for extra, (who, at, bounds, cells, sig_row, sig_part) in enumerate(sketches(value, starts, percent)):
-                order = np.argsort(sig_row, kind="stable")
-                sig_row, sig_part = sig_row[order], sig_part[order]
-                cell = cells[np.maximum(bounds[sig_row] + sig_part, 0)]
-                cell[sig_part < 0] = 0
-                signature = mix(cell + mix((sig_part + 1).astype(np.uint64) * np.uint64(64) + at[sig_row].astype(np.uint64)))
-                listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(sig_row, np.append(who, len(chosen))), pa.int32()), pa.array(signature.view(np.int64)))
-                bits, places = parities(value, starts, np.where(np.isin(np.arange(len(chosen)), who), at, 0))
+            value, starts = value[_ranges_of(starts[fresh], size[fresh])], np.concatenate(([0], np.cumsum(size[fresh])))
+            for who, at, bounds, cells, _, _ in sketches(value, starts, percent):
+                bits, places = parities(value, starts, np.where(np.isin(np.arange(len(fresh)), who), at, 0))
                 out = []
                 for k in who.tolist():
                     head = np.zeros(HEAD, np.uint64)
                     own = cells[bounds[k] : bounds[k + 1]][:HEAD]
                     head[: len(own)] = own
                     out.append(head.tobytes() + bits[places[k] : places[k + 1]].tobytes())
-                rows = pa.array(chosen[who])
-                columns = [keys.take(rows), node.take(rows), pa.array(size[chosen[who]]), pa.array(np.full(len(who), extra == 0)), pa.array(at[who].astype(np.int32)), listed, pa.array(out, pa.binary())]
+                rows = pa.array(fresh[who])
+                columns = [pa.nulls(len(who), keys.type), node.take(rows), pa.array(size[fresh[who]]), pa.array(np.zeros(len(who), bool)), pa.array(at[who].astype(np.int32)), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, own boolean, level int, signatures array<long>, sketch binary")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, row boolean, level int, sketch binary")
 
 
 def _ranges_of(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -403,15 +420,16 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     Null and empty texts link with nothing. Null keys never name a component unless all of its keys are null. Repeated
     rows and further columns are harmless.
     """
-    table = materialize(_levelled(docs, text, key, n, percent)).withColumnRenamed(key, "_key")
-    filled = table.where("node is not null")
-    exploded = filled.select("node", "level", F.explode("signatures").alias("signature"))
     group = Window.partitionBy("signature")
     lowest, highest = F.min("node").over(group), F.max("node").over(group)
     region = F.xxhash64("level", F.bit_xor("node").over(group), F.sum(F.pmod("node", F.lit((1 << 31) - 1))).over(group), F.count("*").over(group), lowest, highest)
-    grouped = exploded.select("node", "level", region.alias("region"), lowest.alias("_low"), highest.alias("_high")).where("_low <> _high")
+    grouped = _signatures(docs, text, n, percent).select("node", "level", region.alias("region"), lowest.alias("_low"), highest.alias("_high")).where("_low <> _high")
     members = materialize(grouped.select("region", "node", "level").distinct())
-    sketched = filled.where("sketch is not null").groupBy("node", "level").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    held = sieve(members.select("node").distinct())
+    table = materialize(_lines(docs, text, key, n, percent, held)).withColumnRenamed(key, "_key")
+    rows = table.where("row")
+    filled = rows.where("node is not null")
+    sketched = table.where("not row").groupBy("node", "level").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     near_ = materialize(_near_members(_place(members, sketched), percent))
     keys = filled.groupBy("node").agg(F.min("_key").alias("_key"))
     texts = _texts(docs, text, key, near_.select("node").distinct().join(keys, "node"), n)
@@ -420,6 +438,25 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("_key").alias("component_id"))
     classes = materialize(named.join(smallest, "root").select("node", "component_id"))
-    linked = filled.where("own").select("_key", "n", "node").join(classes, "node").select("_key", "n", "component_id")
-    alone = table.where("node is null").select("_key", "n", F.col("_key").alias("component_id"))
+    linked = filled.select("_key", "n", "node").join(classes, "node").select("_key", "n", "component_id")
+    alone = rows.where("node is null").select("_key", "n", F.col("_key").alias("component_id"))
     return linked.unionByName(alone).select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near-duplicates: of each component, the row with the smallest key (null last) and, of rows
+    with that key, the one whose text hashes lowest, once. Rows without shingles stay, but repeated ones once.
+
+    Texts move only if their row passes a sieve of those that may go."""
+    row_key = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("text"))
+    groups = join(docs.select(F.col(text), row_key.alias("_id")), text, "_id", n, percent)
+    counted = groups.groupBy("_id").agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows"))
+    doomed = materialize(counted.where((F.col("_id") != F.col("_first")) | (F.col("_rows") > 1)))
+    held = sieve(doomed.select(F.xxhash64("_id")))
+    passes = F.pandas_udf(lambda h: pd.Series(held.value.holds(h.to_numpy())), "boolean")
+    rows = docs.select(F.struct("*").alias("_row"), row_key.alias("_id")).withColumn("_caught", passes(F.xxhash64("_id")))
+    sure = rows.where(~F.col("_caught")).select("_row.*")
+    caught = rows.where("_caught").join(doomed.withColumnRenamed("_id", "_other"), F.col("_id") == F.col("_other"), "left")
+    # Of rows with equal keys and texts, any one stays.
+    left = caught.where(F.col("_other").isNull() | (F.col("_id") == F.col("_first")))
+    return sure.unionByName(left.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*"))
