@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, quality, secrets
@@ -17,15 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of documents that share 80 % of their five-word shingles: the smallest doc_id,
-    once (of rows with that doc_id, the one whose text hashes lowest)."""
-    groups = materialize(jaccard.join(docs, n=5, percent=80))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.lit(True).alias("_in")).distinct()
-    first = Window.partitionBy("_kept").orderBy(F.xxhash64("_row.text"))
-    rows = docs.select(F.struct("*").alias("_row")).join(kept, F.col("_row.doc_id").eqNullSafe(F.col("_kept")))
-    # Rows without a doc_id can't be told apart by it and all stay.
-    numbered = rows.withColumn("_number", F.when(F.col("_kept").isNull(), F.lit(1)).otherwise(F.row_number().over(first)))
-    return numbered.where("_number = 1").select("_row.*")
+    """Keeps one document of each group of documents that share 80 % of their five-word shingles."""
+    return jaccard.keep_one(docs, n=5, percent=80)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
