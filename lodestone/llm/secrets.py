@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import string
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, fold, prefix_hash, range_hash, steps
+from .common import STEP_BYTES, Words, fold, prefix_hash, range_hash, steps
 
 KINDS = ("assign", "access", "hex", "crf")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -323,9 +324,9 @@ def training_sequences(texts: list[str], sequences: int = 1500, width: int = 24,
             text += word + " "
         marks += [(a, b) if k else ASSIGN.match(text, a).span(2) for a, k, b in base_spans(text)]
         data = np.frombuffer(text.encode(), np.uint8)
-        if len(data) != len(text):  # positions of marks are in characters: such stretches are kept only unmarked
-            if marks:
-                continue
+        if len(data) != len(text):  # positions of marks are in characters, those of tokens in bytes
+            place = np.cumsum([0, *(len(c.encode()) for c in text)])
+            marks = [(int(place[a]), int(place[b])) for a, b in marks]
         offsets = np.array([0, len(data)])
         tokens = Tokens(data, offsets)
         if len(tokens.start) < width:
@@ -340,14 +341,33 @@ def training_sequences(texts: list[str], sequences: int = 1500, width: int = 24,
     return np.stack(xs), np.stack(ys)
 
 
+def _stretches(docs: DataFrame, each: int, seed: int) -> DataFrame:
+    """Of each row (_key, _text) up to `each` stretches of 40 words, from seeded places of the whole text."""
+    kind = docs.dtypes[0][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in steps(batches, "_text"):
+            words, raw, out = Words(data, offsets), data.tobytes(), []
+            for row in range(batch.num_rows):
+                count, first = int(words.count[row]), int(words.first[row])
+                places = np.unique(np.random.default_rng((seed, count)).integers(0, max(1, count - 39), each)) if count else []
+                out.append([raw[words.start[first + k] : words.end[first + min(k + 40, count) - 1]].decode("utf-8", "replace") for k in places])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["_key", "stretches"])
+
+    return docs.mapInArrow(run, f"_key {kind}, stretches array<string>")
+
+
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 200, sequences: int = 1500, seed: int = 5) -> Crf:
     """Trains the field on sequences drawn from `sample` documents (a bound on rows; those with the smallest seeded
-    hashes of their key) and from seeded synthetic secrets. An empty table trains on drawn words alone."""
-    # Keys first: at most `sample` of them are broadcast, and only their texts are fetched.
-    keys = docs.select(F.col(key).alias("_key")).distinct().orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(sample)
+    hashes of their key, a null key among them) and from seeded synthetic secrets. Stretches are drawn from the whole of
+    these documents. An empty table trains on drawn words alone."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    # Keys first: at most `sample` of them are broadcast, and only stretches of their texts are fetched.
+    keys = rows.select(F.col("_key").alias("_chosen")).distinct().orderBy(F.xxhash64(F.lit(seed), "_chosen"), "_chosen").limit(sample)
     keys = docs.sparkSession.createDataFrame(keys.toArrow())
-    found = docs.join(F.broadcast(keys), F.col(key) == F.col("_key")).groupBy("_key").agg(F.min(F.substring(text, 1, 20000)).alias("t"))
-    texts = [r.t for r in found.orderBy("_key").collect()]
+    chosen = rows.join(F.broadcast(keys), F.col("_key").eqNullSafe(F.col("_chosen"))).select("_key", "_text")
+    found = _stretches(chosen, 2 * -(-sequences // sample), seed).groupBy("_key").agg(F.min("stretches").alias("t"))
+    texts = [t for r in found.orderBy("_key").collect() for t in r.t or ()]
     return fit_crf(*training_sequences(texts, sequences, seed=seed))
 
 
@@ -365,6 +385,8 @@ def scan_step(data: np.ndarray, offsets: np.ndarray, crf: Crf | None) -> list[li
         return found
     labels = decode(emissions(data, offsets, tokens, crf.weights), tokens.row, crf)
     hits = np.flatnonzero(labels)
+    ends: dict[int, np.ndarray] = {}  # per text, the farthest end of its pattern spans so far
+    starts: dict[int, list[int]] = {}
     if len(hits):
         points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         begins = np.flatnonzero((labels[hits] == 1) | np.concatenate(([True], np.diff(hits) > 1)) | np.concatenate(([True], np.diff(tokens.row[hits]) > 0)))
@@ -372,7 +394,10 @@ def scan_step(data: np.ndarray, offsets: np.ndarray, crf: Crf | None) -> list[li
             row = int(tokens.row[hits[a]])
             shift = points[offsets[row]]
             span = (int(points[tokens.start[hits[a]]] - shift), 3, int(points[tokens.end[hits[b - 1]]] - shift))
-            if all(span[2] <= x[0] or span[0] >= x[2] for x in found[row]):
+            if row not in starts:
+                starts[row] = [x[0] for x in found[row]]
+                ends[row] = np.maximum.accumulate([0, *(x[2] for x in found[row])])
+            if ends[row][bisect.bisect_left(starts[row], span[2])] <= span[0]:
                 found[row].append(span)
     return [sorted(x) for x in found]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, mix string"
+CLASHING = ("_key", "_row", "_kept", "_id", "node", "_text", "_caught", "_pieces", "key")
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,7 @@ def tables(spark, tmp_path_factory):
 
 def test_stages(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
+    docs = docs.withColumns({c: F.lit(c) for c in CLASHING})
     names = [n for n, _ in P.STAGES]
     assert names == ["quality", "near_duplicates", "secrets", "mix", "packing"]
     columns, kept = docs.columns, docs
@@ -49,6 +51,25 @@ def test_stages(spark, tables):
     assert packed.groupBy("doc_id", "start").count().count() > 0 and packed.agg(F.max(F.col("offset") + F.col("length"))).head()[0] <= 2048
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, b + " more"), (3, c), (3, c), (4, a), (None, text()), (None, c), (5, None), (6, "")]
+    got = P.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([rows[0], rows[1], rows[3], rows[6], rows[8], rows[9]])
+
+
+def test_cut_documents_keep_their_blanks(spark):
+    rows = [(k, f"  a{k}\tb  c\n\nd {t} e", "s" if k else None, 3) for k, t in enumerate(["x " * 40] * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    texts = {r[0]: r[1] for r in rows}
+    got = P.mix_stage(spark, docs, "").collect()
+    cut = [r for r in got if r.text != texts[r.doc_id]]
+    assert cut and all(texts[r.doc_id].startswith(r.text) and r.text == r.text.rstrip() and r.n_chars == len(r.text) for r in cut)
+    assert abs(sum(len(r.text.split()) for r in got) - 1.5 * sum(len(t.split()) for t in texts.values())) <= 2
+
+
 def test_run_agrees_with_its_stages(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for _, stage in P.STAGES:

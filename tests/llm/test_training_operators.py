@@ -324,6 +324,34 @@ def test_base_spans():
     assert secrets.base_spans("") == []
 
 
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(4)
+    pieces = ["password", "PASSWD", "Secret", "token", "api_key", "ApiKey", "=", ":", " ", '"', "'", "AKIA", "é", "\n", "漢", "abc123", "0123456789abcdef", "A1B2C3D4E5F6G7H8", "x" * 5, "deadbeef" * 3, "."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(800)] + [r[1] or "" for r in corpus()]
+    for text in texts:
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert secrets.base_spans(text) == sorted(want)
+
+
+def test_field_is_fitted_on_clashing_columns_and_whole_texts(spark, docs):
+    both = docs.withColumn("_text", F.lit(1)).withColumn("_chosen", F.lit(2))
+    assert secrets.redact(both, secrets.fit(both, sample=20, sequences=60)).columns == both.columns
+    text = " ".join(f"w{k}" for k in range(5000))
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "é è"), (None, "no key")], "_key long, _text string")
+    drawn = {r._key: r.stretches for r in secrets._stretches(rows, 16, 5).collect()}
+    assert all(t in text and len(t.split()) == 40 for t in drawn[1]) and max(int(t.split()[0][1:]) for t in drawn[1]) > 3000
+    assert drawn[2] == [] and drawn[3] == ["é è"] and drawn[None] == ["no key"]
+
+
+def test_many_spans_in_one_text(crf):
+    text = "password is Xk29fLq83Zt77Bw and token=abcdef123 then " * 4000
+    data = np.frombuffer(text.encode(), np.uint8)
+    spans = secrets.scan_step(data, np.array([0, len(data)]), crf[0])[0]
+    assert sum(k == 0 for _, k, _ in spans) == 4000 and all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 @pytest.fixture(scope="module")
 def crf():
     x, y = secrets.training_sequences([r[1] for r in corpus() if r[1]], 1000)
