@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, quality, secrets
-from lodestone.llm.common import materialize, read_table, text_of
+from lodestone.llm.common import materialize, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = mixed.withColumn(f"{into}_words", F.explode(copies))
     words = F.col(f"{into}_words")
-    head = F.array_join(F.slice(F.split(F.trim(text_of("text"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), 1, words), " ")
+    # What follows the words that are taken, and the blanks before it, go; the text before stays as it is.
+    blank = r"[\x20\x09-\x0D]"
+    pieces = F.split("text", f"{blank}+", words + 1 + F.col("text").rlike(f"^{blank}").cast("int"))
+    head = F.rtrim(F.substring("text", F.lit(1), F.length("text") - F.length(F.element_at(pieces, -1))), F.lit(" \t\n\x0b\x0c\r"))
     cut = F.when(words > 0, head).otherwise(F.col("text"))
     rows = rows.withColumn("text", cut)
     if "n_chars" in docs.columns:
