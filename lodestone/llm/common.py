@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Regular expression of a word: a run without blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one NumPy step works on (a single longer document makes a longer step).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -142,7 +142,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base of the rolling hash modulo 2**64, and of its inverse."""
     if len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + 1)
+        size = max(n, 2 * STEP_BYTES + 1)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             grown = np.full(size, base, np.uint64)
             grown[0] = 1
