@@ -37,7 +37,7 @@ class Engine:
         skipped = {*found["path"], *found["identifier"]}
         texts = [r.column_name for r in eda.text_columns(df, tuple(skipped | {label or ""})).collect()] if any(k == "string" for _, k in df.dtypes) else []
         numbers = [c for c in stats.numeric_columns(df) if c not in skipped]
-        rows = lambda x: [r.asDict() for r in x.limit(200).collect()]
+        rows = lambda x: [r.asDict() for r in x.orderBy(*x.columns).limit(200).collect()]  # noqa: E731  200 rows shown, the same in each run
         out = {"columns": {"label": label, "text": texts, "numeric": numbers, **found}, "missingness": rows(eda.missingness(df)), "co_missingness": rows(eda.co_missingness(df, self.t))}
         if label:
             out |= {"labels": rows(eda.label_distribution(df, label)), "rare_classes": rows(eda.rare_classes(df, label, self.t)), "missingness_by_label": rows(eda.missingness_by_label(df, label))}

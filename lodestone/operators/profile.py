@@ -23,15 +23,20 @@ def name_hints(names: DataFrame, column: str = "column_name") -> DataFrame:
     return names.select(column, n.alias("normalized_name"), *fired)
 
 
+def _path_like(c: F.Column) -> F.Column:
+    suffixes = "|".join(C.FILE_SUFFIXES)
+    return c.startswith("~") | F.contains(c, F.lit("/")) | F.contains(c, F.lit("\\")) | F.lower(c).rlike(rf"\.({suffixes})$")
+
+
 def score_roles(df: DataFrame, stats: list | None = None, order: str | None = None, t: C.Thresholds = C.DEFAULTS) -> list[dict]:
-    """Role and confidence of each column, from one aggregate over all columns and 20 values of each."""
+    """Role and confidence of each column, from one aggregate over all columns."""
     stats = stats or column_stats(df).collect()
     strings = [r.column_name for r in stats if r.basic_dtype == "string"]
-    head = (df.orderBy(order) if order else df).select(*[q(c) for c in strings]).limit(20).collect() if strings else []
-    numbers = {}
+    numbers, paths = {}, {}
     if strings:
-        one = df.agg(*[F.count(X.to_number(F.col(q(c)).cast("string"))).alias(f"n{k}") for k, c in enumerate(strings)]).head()
-        numbers = dict(zip(strings, one, strict=True))
+        cells = [F.col(q(c)).cast("string") for c in strings]
+        one = df.agg(*[F.count(X.to_number(c)).alias(f"n{k}") for k, c in enumerate(cells)], *[F.count_if(_path_like(c)).alias(f"p{k}") for k, c in enumerate(cells)]).head()
+        numbers, paths = dict(zip(strings, one[: len(strings)], strict=True)), dict(zip(strings, one[len(strings) :], strict=True))
     out = []
     for r in stats:
         name = "_".join(p for p in "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in r.column_name.strip().lower()).split())
@@ -54,10 +59,7 @@ def score_roles(df: DataFrame, stats: list | None = None, order: str | None = No
         elif r.total and r.unique_count / r.total > 0.8:
             add("identifier", 0.3, "mostly distinct values")
         if r.basic_dtype == "string":
-            values = [str(x[r.column_name]) for x in head if x[r.column_name] is not None]
-            suffixes = tuple("." + s for s in C.FILE_SUFFIXES)
-            like = [v for v in values if v.startswith(("/", "./", "../", "~")) or v.lower().endswith(suffixes) or "/" in v or "\\" in v]
-            if values and len(like) >= 0.5 * len(values):
+            if r.non_null_count and paths[r.column_name] >= 0.5 * r.non_null_count:
                 add("path/reference", 0.8, "values look like paths")
             if r.total and numbers[r.column_name] / r.total > 0.95:
                 add("numeric measurement", 0.4, "values read as numbers")

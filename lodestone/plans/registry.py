@@ -54,7 +54,7 @@ add(
 )
 add(
     "io04_dsn_redaction",
-    lambda s, d: T(s, d, "nation").select("n_nationkey", F.regexp_replace(F.concat(F.lit("postgresql://user:"), "n_name", F.lit("@host/db")), r"(://[^:/@]+:)[^@]*(@)", "$1***$2").alias("dsn")),
+    lambda s, d: T(s, d, "nation").select("n_nationkey", F.udf(lambda u: readers.redact(u))(F.concat(F.lit("postgresql://user:"), "n_name", F.lit("@host/db"))).alias("dsn")),
     r"SELECT n_nationkey, regexp_replace('postgresql://user:' || n_name || '@host/db', '(://[^:/@]+:)[^@]*(@)', '\1***\2') AS dsn FROM nation",
 )
 
@@ -65,7 +65,7 @@ def _tables(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(n,) for n in readers.list_tables(s) if n in ("region", "nation")], "table_name string")
 
 
-add("io05_table_listing", _tables)
+add("io05_table_listing", _tables, "SELECT * FROM (VALUES ('region'), ('nation')) t(table_name)")
 
 
 def _sql_source(s: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,8 @@ add("sc02_sanitize_filename", lambda s, d: T(s, d, "pages").select("page_id", X.
 add("sc03_extension", lambda s, d: V.m_docs(s, d).select("doc_id", X.extension(F.col("path")).alias("extension")).unionByName(T(s, d, "pages").select(F.col("page_id").alias("doc_id"), X.extension(F.col("url")).alias("extension"))), r"SELECT doc_id, nullif(lower(regexp_extract(path, '[^/.](\.[^./]+)$', 1)), '') AS extension FROM m_docs UNION ALL SELECT page_id, nullif(lower(regexp_extract(url, '[^/.](\.[^./]+)$', 1)), '') FROM pages")
 add("sc04_path_stem", lambda s, d: V.m_convs(s, d).select("path", X.stem(F.col("path")).alias("stem")), r"SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]+$', '\1') AS stem FROM m_convs")
 add("sc05_looks_like_path", lambda s, d: V.m_docs(s, d).select(F.col("path").alias("v")).union(T(s, d, "nation").select("n_name")).select("v", X.looks_like_path(F.col("v")).alias("is_path")), "SELECT v, (contains(v, '/') OR regexp_matches(lower(v), '\\.(txt|json|csv)$')) AS is_path FROM (SELECT path AS v FROM m_docs UNION ALL SELECT n_name FROM nation)")
-add("sc06_basic_dtype", lambda s, d: s.createDataFrame([(t, f.name, stats.basic_dtype(f.dataType)) for t in ("events", "documents", "embeddings", "orders") for f in T(s, d, t).schema.fields], "table_name string, column_name string, basic_dtype string"))
+_KIND = "CASE WHEN column_type = 'BOOLEAN' THEN 'boolean' WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') THEN 'numeric' WHEN column_type = 'DATE' OR column_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'string' END AS basic_dtype"
+add("sc06_basic_dtype", lambda s, d: s.createDataFrame([(t, f.name, stats.basic_dtype(f.dataType)) for t in ("events", "documents", "embeddings", "orders") for f in T(s, d, t).schema.fields], "table_name string, column_name string, basic_dtype string"), " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, {_KIND} FROM (DESCRIBE {t})" for t in ("events", "documents", "embeddings", "orders")))
 _MIXED = "CASE WHEN c_custkey % 4 = 0 THEN ' 12 ' WHEN c_custkey % 4 = 1 THEN '1d' WHEN c_custkey % 4 = 2 THEN c_name ELSE '-3.5' END"
 add("sc07_maybe_numeric", lambda s, d: rounded(T(s, d, "customer").select(F.expr(_MIXED).alias("v")).agg(F.count(X.to_number(F.col("v"))).alias("parsed"), F.sum(X.to_number(F.col("v"))).alias("total"), (F.count(X.to_number(F.col("v"))) / F.count("*")).alias("coverage"))), _r(f"WITH v AS (SELECT {_MIXED} AS v FROM customer), n AS (SELECT CASE WHEN NOT regexp_matches(trim(v), '[dDfF]$') THEN TRY_CAST(trim(v) AS DOUBLE) END AS x FROM v) SELECT count(x) AS parsed, r6(sum(x)) AS total, r6(count(x) / count(*)) AS coverage FROM n"))
 add("sc08_sample_values", lambda s, d: V.m_nulls(s, d).where("event_type is not null").orderBy("event_id").limit(5).select("event_id", "event_type"), "SELECT event_id, event_type FROM m_nulls WHERE event_type IS NOT NULL ORDER BY event_id LIMIT 5")
@@ -214,7 +215,12 @@ def _noise(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
-add("ed12_label_noise", _noise)
+_CANDIDATES = {
+    "conflicting_labels": "SELECT count(*) AS n FROM (SELECT path FROM m_docs GROUP BY 1 HAVING count(DISTINCT label) > 1)",
+    "label_inconsistency": "SELECT noise_candidate_count AS n FROM (" + _MIX.format(g="source", l="label", v="m_docs") + ")",
+    "class_outliers": "SELECT candidate_count AS n FROM (" + _CLASS + ") WHERE column_name = 'value'",
+}
+add("ed12_label_noise", _noise, _r(" UNION ALL ".join(f"SELECT '{k}' AS check_name, CAST(n AS BIGINT) AS candidates FROM ({v})" for k, v in _CANDIDATES.items())))
 add("ed13_numeric_summaries", lambda s, d: rounded(eda.numeric_summaries(T(s, d, "orders").select("o_totalprice", "o_custkey"), ["o_totalprice", "o_custkey"])), _r(_per_column(("o_totalprice", "o_custkey"), "orders", _SUMMARY)))
 _SCALE = "WITH c AS (" + _per_column(_LINE, "lineitem", "SELECT '{c}' AS column_name, {c} AS x FROM {v}") + ") , o AS (SELECT column_name, min(x) AS lo, max(x) AS hi, max(x) - min(x) AS rg, stddev_samp(x) AS sd, avg(x) AS mn, skewness(x) AS sk FROM c GROUP BY 1), m AS (SELECT median(rg) AS mid, max(round(log10(rg), 3)) - min(round(log10(rg), 3)) AS sp, max(rg) / min(rg) AS rr FROM o) SELECT column_name, r6(lo) AS min, r6(hi) AS max, r6(rg) AS range, r6(sd) AS std, r6(mn) AS mean, r6(sk) AS skewness, r6(round(log10(rg), 3)) AS log10_range, lo >= 0 AND hi <= 1 AS already_normalized, abs(sk) > 2 AS high_skew, lo >= 0 AND NOT (lo >= 0 AND hi <= 1) AND sk > 1.5 AS log_transform_candidate, rg >= 10 * mid AS dominant_scale, rg <= mid / 10 AS small_scale, r6(rr) AS max_range_ratio, sp >= 2 AS mixed_scale_detected FROM o, m"
 add("ed14_feature_scaling", lambda s, d: rounded(eda.feature_scaling(T(s, d, "lineitem"), _LINE)), _r(_SCALE))
@@ -275,8 +281,19 @@ add("tx4_noise", _metrics(tuple(TX.METRICS[16:24])), _r("SELECT doc_id, " + ", "
 add("tx5_entropy", _metrics(("char_entropy",)), _r("WITH e AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM n) SELECT doc_id, r6(-sum(p * log2(p))) AS char_entropy FROM p GROUP BY 1"))
 add("tx6_readability", _metrics(tuple(TX.METRICS[25:28])), _r(f"WITH {_TEXT}, e AS (SELECT doc_id, unnest(w) AS x FROM t), l AS (SELECT doc_id, regexp_replace(x, '[^a-z]', '', 'g') AS l FROM e), g AS (SELECT doc_id, l, len(regexp_extract_all(l, '[aeiouy]+')) AS g FROM l), y AS (SELECT doc_id, {_SYL} AS y FROM g), a AS (SELECT doc_id, sum(y) AS sy, count(*) AS k, count_if(y >= 3) AS cx FROM y GROUP BY 1) SELECT t.doc_id, r6(coalesce(206.835 - 1.015 * (CAST(k AS DOUBLE) / greatest(len(s), 1)) - 84.6 * (CAST(sy AS DOUBLE) / k), 0)) AS flesch_reading_ease, r6(coalesce(0.39 * (CAST(k AS DOUBLE) / greatest(len(s), 1)) + 11.8 * (CAST(sy AS DOUBLE) / k) - 15.59, 0)) AS flesch_kincaid_grade, r6(coalesce(cx / k, 0)) AS complex_word_ratio FROM t LEFT JOIN a ON t.doc_id = a.doc_id"))
 add("tx7_label_overlap", lambda s, d: rounded(T(s, d, "conversations").select("conv_id", "turn", TX.label_overlap(F.col("text"), F.concat("role", F.lit(" the"))).alias("overlap"))), _r(r"WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower(role || ' the'), '[\p{L}\p{N}_]+')) AS b FROM conversations) SELECT conv_id, turn, r6(len(list_intersect(a, b)) / len(b)) AS overlap FROM t"))
-add("tx8_text_bundle", lambda s, d: rounded(TX.text_metrics(V.m_docs(s, d), "text", "label", ("doc_id",))))
-add("tx9_corpus_summary", lambda s, d: rounded(stats.summaries(TX.text_metrics(T(s, d, "documents"), "text", keep=("doc_id",)), TX.METRICS, 0.5)))
+_BUNDLE = "(SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[n]}) {n}" + (" USING (doc_id)" if k else "") for k, n in enumerate(("tx1_length", "tx2_lexical", "tx3_repetition", "tx4_noise", "tx5_entropy", "tx6_readability"))) + ")"
+_SHARED = "(SELECT doc_id, r6(CASE WHEN label IS NOT NULL THEN len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')), [CAST(label AS VARCHAR)])) END) AS label_keyword_overlap FROM m_docs)"
+add("tx8_text_bundle", lambda s, d: rounded(TX.text_metrics(V.m_docs(s, d), "text", "label", ("doc_id",))), _r(f"SELECT b.*, false AS text_missing, o.label_keyword_overlap FROM {_BUNDLE} b JOIN {_SHARED} o ON b.doc_id = o.doc_id"))
+# Summaries of rounded metrics, to five digits, and by a billionth off the ties between two such numbers.
+_FIVE = ("mean", "std", "min", "p25", "median", "p75", "max")
+
+
+def _corpus(s: SparkSession, d: str) -> DataFrame:
+    out = stats.summaries(rounded(TX.text_metrics(T(s, d, "documents"), "text", keep=("doc_id",))), TX.METRICS, 0.5)
+    return out.select("column_name", "count", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in _FIVE])
+
+
+add("tx9_corpus_summary", _corpus, f"WITH b AS {_BUNDLE} SELECT column_name, count, " + ", ".join(f"round({c} + 1e-9, 5) AS {c}" for c in _FIVE) + " FROM (" + _per_column(TX.METRICS, "b", _SUMMARY.replace("r6(", "(")) + ")")
 
 # --- skeletons --------------------------------------------------------------------------------------------------
 

@@ -175,3 +175,38 @@ def test_profile_report(spark):
     assert tree["candidates"]["path"] == ["path"] and tree["candidates"]["label"] == ["label"]
     assert tree["modality"]["modality"] == "skeleton/motion"
     assert eda.rare_classes(df, "label", Thresholds(rare_count=10)).count() == 1
+
+
+def test_text_metrics_of_odd_texts_against_plain_loops():
+    import math
+    import random
+    import re
+    import unicodedata
+    from collections import Counter
+
+    from lodestone.functions import text as X
+
+    rng = random.Random(5)
+    pieces = ["a", "the", "Queue", "rhythm", "é", "漢字", "_x1", "٣", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\x0b", " ", "\xa0", ".", "!!", "? ", ",,,", "...", "http://a.b/c ", "WWW.x.y", "me@ex.org ", "-", "𝔘", "İ"]
+    texts = ["", " ", "\n", "one", ". . .", "a\n\na\n \nb"] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(80))) for _ in range(400)]
+    got = X.measure(texts)
+    for t, row in zip(texts, got, strict=True):
+        m = dict(zip(X.METRICS, row, strict=True))
+        w = re.findall(r"\w+", t.lower())
+        flat = re.sub("[\\s\x1c-\x1f\x85\xa0]+", " ", t).strip(" ")
+        s = [x for x in re.split(r"(?<=[.!?]) +", flat) if x]
+        c, g = Counter(w), Counter(zip(w, w[1:], w[2:], strict=False))
+        lines = [x for x in (" ".join(y.split()) for y in t.splitlines()) if x]
+        letters = [re.sub("[^a-z]", "", x) for x in w]
+        groups = [len(re.findall("[aeiouy]+", x)) for x in letters]
+        spoken = [0 if not x else max(n - (x[-1] == "e" and n > 1), 1) for x, n in zip(letters, groups, strict=True)]
+        size, n = max(len(t), 1), max(len(w), 1)
+        want = {
+            "char_count": len(t), "char_count_no_space": len(re.sub("[ \t\n\x0b\x0c\r]", "", t)), "word_count": len(w), "sentence_count": len(s), "line_count": len(t.splitlines()), "avg_word_length": sum(map(len, w)) / n,
+            "unique_word_count": len(c), "hapax_ratio": sum(v == 1 for v in c.values()) / n, "stopword_ratio": sum(x in X.STOP_WORDS for x in w) / n,
+            "duplicate_line_ratio": sum(v for v in Counter(lines).values() if v > 1) / max(len(lines), 1) if len(w) >= 3 else 0, "max_ngram_frequency": max(g.values(), default=0),
+            "repeated_ngram_ratio": sum(v for v in g.values() if v > 1) / (len(w) - 2) if len(w) > 2 else 0, "uppercase_ratio": sum(unicodedata.category(x) == "Lu" for x in t) / size, "non_ascii_ratio": sum(ord(x) > 127 for x in t) / size,
+            "repeated_punctuation_count": len(re.findall(r"!{2,}|\?{2,}|\.{2,}|,{2,}|;{2,}|:{2,}", t)), "char_entropy": -sum(v / len(t) * math.log2(v / len(t)) for v in Counter(t).values()),
+            "complex_word_ratio": sum(x >= 3 for x in spoken) / n, "flesch_kincaid_grade": 0.39 * len(w) / max(len(s), 1) + 11.8 * sum(spoken) / len(w) - 15.59 if w else 0,
+        }
+        assert {k: m[k] for k in want} == pytest.approx(want), repr(t)
