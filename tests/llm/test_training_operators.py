@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -417,6 +418,40 @@ def test_edited_texts(docs, empty):
     assert winnowing.compare_edited(empty).count() == 0
 
 
+def plain_winnow(text, gram=3, window=6):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(text)]
+    values = []
+    for k in range(max(len(hashes) - gram, 0) + 1 if hashes else 0):
+        h = 42
+        for x in hashes[k : k + gram]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=h)
+        values.append(h & ((1 << 36) - 1))
+    out = []
+    for k in range(max(len(values) - window, 0) + 1 if values else 0):
+        part = values[k : k + window]
+        at = max(i for i, v in enumerate(part) if v == min(part))
+        if (part[at], k + at) not in out:
+            out.append((part[at], k + at))
+    return out
+
+
+def test_fingerprints_and_likeness_equal_a_plain_winnow(keyed):
+    rows = sorted(keyed.collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: r for r in winnowing.compare_edited(keyed).collect()}
+    told = lambda prints: " ".join(f"{h:X}:{k}" for h, k in prints)
+
+    def near(a, b):
+        x, y = {h for h, _ in a}, {h for h, _ in b}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for k, r in enumerate(rows):
+        text, other = r.text or "", rows[(k + 1) % len(rows)].text or ""
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        own, changed, after = plain_winnow(text), plain_winnow(edited), plain_winnow(other)
+        assert (got[r.doc_id].fingerprint, got[r.doc_id].edited_fingerprint) == (told(own), told(changed))
+        assert (got[r.doc_id].near_edited, got[r.doc_id].near_next) == pytest.approx((near(own, changed), near(own, after)))
+
+
 def test_next_rows_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "RANGE_ROWS", 5)
     df = spark.createDataFrame([(k * 3, f"t{k}") for k in range(47)], "doc_id long, text string").withColumn("_t", F.col("text"))
@@ -552,6 +587,30 @@ def test_statistics(docs):
     assert got == sorted(want)
 
 
+def test_forest_scores_equal_plain_walks():
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(300, len(quality.FEATURES))), rng.normal(size=(5, len(quality.FEATURES))) + 6))
+    forest = quality.fit_forest(x, trees=60, points=64)
+
+    def mean_path(n):
+        return 2 * sum(1 / k for k in range(1, n)) - 2 * (n - 1) / n if n > 1 else 0.0
+
+    def walk(t, row):
+        node, depth = 0, 0
+        while forest.feature[t, node] >= 0:
+            node = forest.child[t, node] + (row[forest.feature[t, node]] >= forest.threshold[t, node])
+            depth += 1
+        return depth, forest.length[t, node]
+
+    for row, got in zip(x[::20], forest.score(x[::20]), strict=True):
+        lengths = [walk(t, row) for t in range(60)]
+        assert all(d <= forest.depth and d <= e for d, e in lengths)
+        assert got == pytest.approx(2 ** -(sum(e for _, e in lengths) / 60 / forest.norm))
+    assert forest.norm == pytest.approx(mean_path(64), rel=0.02)
+    # Rows that land in a leaf alone have its depth as their path.
+    assert forest.score(x[300:]).min() > np.quantile(forest.score(x[:300]), 0.9)
+
+
 def test_forest_sees_repeats_lines_and_digits(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -622,6 +681,54 @@ def test_tree_scores_longest_suffix():
     assert tree.score(data, np.array([0, 5]))[0] == pytest.approx(want)
 
 
+def plain_tree(train, gain, depth):
+    seen = collections.defaultdict(collections.Counter)
+    for i, x in enumerate(train):
+        for d in range(min(depth, i) + 1):
+            seen[train[i - d : i]][x] += 1
+    probs, kept = {}, {b""}
+    for c in sorted((c for c in seen if not c or sum(seen[c].values()) >= 2), key=lambda c: (len(c), c)):
+        if c and c[1:] not in probs:
+            continue
+        own, total = seen[c], sum(seen[c].values())
+        before = probs[c[1:]] if c else [1 / 256] * 256
+        probs[c] = [(own[x] + len(own) * before[x]) / (total + len(own)) for x in range(256)]
+        if c and sum(n * math.log(n / total / before[x]) for x, n in own.items()) >= gain:
+            kept |= {c[k:] for k in range(len(c) + 1)}
+    return probs, kept
+
+
+@pytest.mark.parametrize("gain", [0.1, 3.0])
+def test_tree_equals_a_plain_one(gain):
+    rng = random.Random(int(gain * 10))
+    train = " ".join(rng.choice(["banana", "bandana", "cab", "abba", "anna"]) for _ in range(120)).encode() + b" "
+    packed = suffix_tree.windows(np.frombuffer(train, np.uint8), np.array([0, len(train)]))
+    counts, totals = {}, {}
+    for d in range(suffix_tree.DEPTH + 1):
+        values, number = np.unique(packed & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True)
+        whole = (values >> np.uint64(8 * d)) > 0 if d else values >= 0
+        counts[d], totals[d] = values[whole], number[whole]
+    tree = suffix_tree.grow(counts, totals, 0.0, gain)
+    probs, kept = plain_tree(train, gain, suffix_tree.DEPTH)
+    assert len(kept) > 5
+    texts = [b"banana cab ", b"xyz anna", b"", b"abbandana qq bananna "]
+    want = []
+    for t in texts:
+        score = 0.0
+        for i, x in enumerate(t):
+            context = next(t[k:i] for k in range(max(0, i - suffix_tree.DEPTH), i + 1) if t[k:i] in kept)
+            score += math.log10(probs[context][x])
+        want.append(score)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    assert tree.score(np.frombuffer(b"".join(texts), np.uint8), offsets) == pytest.approx(want, rel=1e-4, abs=1e-9)
+
+
+def test_scores_of_null_and_repeated_keys(docs):
+    rows = suffix_tree.score(docs).collect()
+    assert collections.Counter(str(r.doc_id) for r in rows) == collections.Counter(str(r.doc_id) for r in docs.collect())
+    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.n_known <= r.n_tokens for r in rows)
+
+
 # --- registered queries -----------------------------------------------------------------------------------------
 
 
