@@ -723,6 +723,27 @@ def test_tree_equals_a_plain_one(gain):
     assert tree.score(np.frombuffer(b"".join(texts), np.uint8), offsets) == pytest.approx(want, rel=1e-4, abs=1e-9)
 
 
+def test_long_texts_score_in_stretches():
+    rng = random.Random(5)
+    train = "".join(rng.choice("abc ") for _ in range(3000)).encode()
+    packed = suffix_tree.windows(np.frombuffer(train, np.uint8), np.array([0, len(train)]))
+    counts, totals = {}, {}
+    for d in range(suffix_tree.DEPTH + 1):
+        values, number = np.unique(packed & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True)
+        whole = (values >> np.uint64(8 * d)) > 0 if d else values >= 0
+        counts[d], totals[d] = values[whole], number[whole]
+    tree = suffix_tree.grow(counts, totals, 0.0, 1.0)
+    size = [0, 1, suffix_tree.STRETCH, suffix_tree.STRETCH + 1, 3 * suffix_tree.STRETCH + 7]
+    data = np.frombuffer("".join(rng.choice("abcd ") for _ in range(sum(size))).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    got = tree.logs(data, offsets)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        state = 0
+        for k in range(a, b):
+            assert got[k] == tree.logp[state, tree.column[data[k]]]
+            state = tree.move[state, tree.column[data[k]]]
+
+
 def test_scores_of_null_and_repeated_keys(docs):
     rows = suffix_tree.score(docs).collect()
     assert collections.Counter(str(r.doc_id) for r in rows) == collections.Counter(str(r.doc_id) for r in docs.collect())
