@@ -744,6 +744,60 @@ def test_long_texts_score_in_stretches():
             state = tree.move[state, tree.column[data[k]]]
 
 
+def plain_word_scores(texts, held, logs, rare, gain):
+    """Scores by contexts of words: logs[i][k] is the log10 probability of token k of text i by its bytes."""
+    seen = collections.defaultdict(collections.Counter)
+    spots = [(i, k, k - d) for i, t in enumerate(texts) for k in range(1, len(t)) if t[k - 1] in rare for d in (1, 2, 3) if k >= d]
+    for i, k, a in spots:
+        if not held[i]:
+            seen[texts[i][a:k]][texts[i][k]] += 1
+    probs, test = {}, collections.Counter()
+    for i, k, a in sorted(spots, key=lambda s: s[1] - s[2]):
+        own, x = seen[texts[i][a:k]], texts[i][k]
+        total, before = sum(own.values()), probs.get((i, k, a + 1), 10 ** logs[i][k])
+        probs[i, k, a] = (own[x] + len(own) * before) / (total + len(own)) if total >= 2 else before
+        if not held[i]:
+            test[texts[i][a:k]] += math.log(own[x] / total / before)
+    kept = {c for c, value in test.items() if value >= gain and sum(seen[c].values()) >= 2}
+    out = []
+    for i, t in enumerate(texts):
+        score = 0.0
+        for k in range(len(t)):
+            best = next((a for a in range(max(0, k - 3), k) if t[a:k] in kept and t[k - 1] in rare), None)
+            score += logs[i][k] if best is None else math.log10(probs[i, k, best])
+        out.append(score)
+    return out, {len(c) for c in kept}
+
+
+def test_contexts_of_words_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BLOCK", 50)
+    rng = random.Random(11)
+    vocabulary = ["the", "of"] * 30 + [f"w{k}" for k in range(25)] + ["Ärger", "x"]
+    raw = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    raw += [f"once the w{k} of w3 x ran home" for k in (1, 2, 1, 2, 1, 1)] * 3 + ["", "w1"]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string").repartition(3)
+    common, gain = 0.02, 4.0
+    got = {r.doc_id: r for r in suffix_tree.score(docs, common=common, gain=gain).collect()}
+    texts = [(*WORD.findall(fold(t)), "\0end") for t in raw]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(raw))]
+    counts = collections.Counter(w for t, h in zip(texts, held, strict=True) if not h for w in t)
+    rare = {w for t in texts for w in t if counts[w] < max(1, common * sum(counts.values()))} - {"\0end"}
+    tree = suffix_tree.fit(suffix_tree._count_tables(docs, "text", "doc_id")[1], gain=gain)
+    logs = []
+    for t in texts:
+        data = np.frombuffer(b"".join(w.encode() + b" " for w in t[:-1]) + b"\n", np.uint8)
+        each = tree.logs(data, np.array([0, len(data)])).astype(float)
+        ends = np.cumsum([len(w.encode()) + 1 for w in t[:-1]] + [1])
+        logs.append([each[a:b].sum() for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)])
+    want, depths = plain_word_scores(texts, held, logs, rare, gain)
+    assert depths >= {1, 2}
+    plain = [sum(x) for x in logs]
+    assert sum(abs(a - b) > 0.1 for a, b in zip(want, plain, strict=True)) > 10
+    for i, value in enumerate(want):
+        assert got[i].score == pytest.approx(value, rel=1e-4, abs=1e-3)
+        assert got[i].n_known == sum(counts[w] > 0 for w in texts[i])
+
+
 def test_scores_of_null_and_repeated_keys(docs):
     rows = suffix_tree.score(docs).collect()
     assert collections.Counter(str(r.doc_id) for r in rows) == collections.Counter(str(r.doc_id) for r in docs.collect())
