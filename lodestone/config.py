@@ -53,23 +53,38 @@ class Thresholds:
 
 DEFAULTS = Thresholds()
 
-# Column-name hints, file suffixes, split names and stop words decide results, so they are stated as they are.
-PATH_HINTS = "audio clip file file_path filename filepath frame image img json_path npy_path npz_path path recording sequence sound source speech uri url video waveform".split()
-LABEL_HINTS = "action activity annotation category class event fall ground_truth gt label target y".split()
-GROUP_HINTS = "camera camera_id environment fold group partition person_id scene session session_id site split subject subject_id".split()
-TEMPORAL_HINTS = "clip_id duration end fps frame frame_id frame_idx n_samples sample_rate sequence_id sr start time timestamp".split()
-ID_HINTS = "id index name record_id row_id sample_id uid uuid".split()
-FILE_SUFFIXES = "csv json jsonl mp4 avi mov mkv jpg jpeg png bmp webp npy npz pkl pickle txt tsv parquet wav mp3 flac ogg m4a aac".split()
-TEXT_SUFFIXES = ".txt .md .log .json .jsonl .csv .tsv".split()
-AUDIO_SUFFIXES = ".wav .mp3 .flac .ogg .m4a .aac".split()
-VIDEO_SUFFIXES = ".mp4 .avi .mov .mkv".split()
-IMAGE_SUFFIXES = ".jpg .jpeg .png .bmp .webp".split()
-TEXT_HINTS = "text transcript caption sentence document content utterance review comment description body prompt response".split()
+# Column-name hints, file suffixes, split names and joints decide results and must be these.
+PATH_HINTS = (
+    "path", "filepath", "file_path", "filename", "file", "uri", "url", "source", "video", "image", "img", "frame", "clip",
+    "sequence", "json_path", "npz_path", "npy_path", "audio", "sound", "recording", "speech", "waveform",
+)
+LABEL_HINTS = ("label", "target", "class", "y", "ground_truth", "gt", "annotation", "category", "event", "action", "activity", "fall")
+GROUP_HINTS = (
+    "split", "group", "subject", "subject_id", "person_id", "session", "session_id", "camera", "camera_id", "scene",
+    "environment", "site", "fold", "partition",
+)
+TEMPORAL_HINTS = (
+    "frame", "frame_id", "frame_idx", "timestamp", "time", "start", "end", "fps", "duration", "clip_id", "sequence_id",
+    "sample_rate", "sr", "n_samples",
+)
+ID_HINTS = ("id", "sample_id", "uuid", "uid", "record_id", "row_id", "index", "name")
+FILE_SUFFIXES = (
+    ".csv", ".json", ".jsonl", ".mp4", ".avi", ".mov", ".mkv", ".jpg", ".jpeg", ".png", ".bmp", ".webp", ".npy", ".npz",
+    ".pkl", ".pickle", ".txt", ".tsv", ".parquet", ".wav", ".mp3", ".flac", ".ogg", ".m4a", ".aac",
+)
+TEXT_SUFFIXES = (".txt", ".md", ".log", ".json", ".jsonl", ".csv", ".tsv")
+AUDIO_SUFFIXES = (".wav", ".mp3", ".flac", ".ogg", ".m4a", ".aac")
+VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv")
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
+TEXT_HINTS = (
+    "text", "transcript", "caption", "sentence", "document", "content", "utterance", "review", "comment", "description",
+    "body", "prompt", "response",
+)
 SPLIT_RANK = {"train": 0, "training": 0, "val": 1, "valid": 1, "validation": 1, "test": 2, "testing": 2, "eval": 2}
-SPLIT_LIKE = "split fold partition".split()
-TIME_ORDER = "time timestamp date frame index step seq sample".split()
-DATE_LIKE = "date time timestamp datetime created recorded year month".split()
-SKELETON_TOKENS = "keypoint keypoints skeleton joint bbox fps".split()
-AUDIO_TOKENS = "audio sound recording speech waveform".split()
-TEMPORAL_TOKENS = "fps duration timestamp".split()
+SPLIT_LIKE = ("split", "fold", "partition")
+TIME_ORDER = ("time", "timestamp", "date", "frame", "index", "step", "seq", "sample")
+DATE_LIKE = ("date", "time", "timestamp", "datetime", "created", "recorded", "year", "month")
+SKELETON_TOKENS = ("keypoint", "keypoints", "skeleton", "joint", "bbox", "fps")
+AUDIO_TOKENS = ("audio", "sound", "recording", "speech", "waveform")
+TEMPORAL_TOKENS = ("fps", "duration", "timestamp")
 LIMBS = (("left_shoulder_elbow", 5, 7), ("right_shoulder_elbow", 6, 8), ("left_hip_knee", 11, 13), ("right_hip_knee", 12, 14))

@@ -37,7 +37,7 @@ def stem(c: Column) -> Column:
 
 
 def looks_like_path(c: Column) -> Column:
-    known = "|".join(FILE_SUFFIXES)
+    known = "|".join(x[1:] for x in FILE_SUFFIXES)
     return c.rlike(r"^(/|\./|\.\./|~|[A-Za-z]:[\\/])") | F.lower(c).rlike(rf"\.({known})$") | c.contains("/") | c.contains("\\")
 
 

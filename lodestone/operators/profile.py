@@ -13,6 +13,7 @@ from lodestone.functions import exprs as X
 from .stats import column_stats, long_strings, numeric_columns, q, summaries
 
 ROLES = ("identifier", "path/reference", "label/target", "grouping variable", "temporal field", "numeric measurement", "categorical metadata", "derived feature", "unknown")
+# What a hint in a column's name is worth to its role.
 _HINTS = (("path/reference", C.PATH_HINTS, 0.7), ("label/target", C.LABEL_HINTS, 0.7), ("grouping variable", C.GROUP_HINTS, 0.7), ("temporal field", C.TEMPORAL_HINTS, 0.6), ("identifier", C.ID_HINTS, 0.6))
 
 
@@ -24,7 +25,7 @@ def name_hints(names: DataFrame, column: str = "column_name") -> DataFrame:
 
 
 def _path_like(c: F.Column) -> F.Column:
-    suffixes = "|".join(C.FILE_SUFFIXES)
+    suffixes = "|".join(x[1:] for x in C.FILE_SUFFIXES)
     return c.startswith("~") | F.contains(c, F.lit("/")) | F.contains(c, F.lit("\\")) | F.lower(c).rlike(rf"\.({suffixes})$")
 
 
@@ -46,6 +47,7 @@ def score_roles(df: DataFrame, stats: list | None = None, order: str | None = No
             score[role] += points
             why.append(reason)
 
+        # The points and bounds below decide roles.
         score["unknown"] = 0.1
         for role, hints, points in _HINTS:
             if parts & set(hints):
