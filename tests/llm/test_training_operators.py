@@ -535,6 +535,21 @@ def test_intervals_keep_several_open_ranges(spark):
 # --- WARC -------------------------------------------------------------------------------------------------------
 
 
+def test_slices_of_a_text_that_many_ask_for_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(compact_windows, "SLICE_BYTES", 1000)
+    raw, rng = bytes(range(256)) * 20, np.random.default_rng(2)
+    a = rng.integers(0, 4000, 500)
+    b = a + rng.integers(0, 400, 500)
+    b[7] = 5000
+    pair, side, low = np.arange(500), np.arange(500, dtype=np.int32) % 2, a.astype(np.int32)
+    batches = list(compact_windows._cut(raw, pair, side, low, a, b))
+    sizes = [sum(map(len, x.column(3).to_pylist())) for x in batches]
+    assert len(batches) > 50 and all(n <= 1000 or x.num_rows == 1 for n, x in zip(sizes, batches, strict=True))
+    got = [r for x in batches for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    assert got == [(k, k % 2, int(i), raw[i:j]) for k, (i, j) in enumerate(zip(a, b, strict=True))]
+    assert list(compact_windows._cut(raw, *(x[:0] for x in (pair, side, low, a, b)))) == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>" + "x" * 200, "tiny"
     rows = [(k, f"http://h/{k} a", t) for k, t in enumerate([big, small, big, None, "", "é" * 60, big, small, "é" * 60])] + [(None, None, "n" * 150), (4, "u", big)]
