@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, prefix_hash, range_hash, steps
+from .common import Words, grams, materialize, prefix_hash, range_hash, steps
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the forest splits on: rates, so that long and short documents compare.
@@ -146,16 +146,58 @@ def fit_forest(x: np.ndarray, trees: int = 300, points: int = 128, seed: int = 7
 
 def _weights(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """How often each feature is split on: by how well it alone tells bad rows from good ones (the share of pairs in
-    order, from 0.5 on either side), never under a fifth of the best one's."""
-    if not len(good) or not len(bad):
+    order, from 0.5 on either side), never under a fifth of the best one's. Rows are given as counts by feature and bin;
+    those in one bin count as equal."""
+    if not good.sum() or not bad.sum():
         return np.ones(len(FEATURES))
-    told = np.empty(len(FEATURES))
-    for k in range(len(FEATURES)):
-        column = np.sort(good[:, k])
-        told[k] = abs((np.searchsorted(column, bad[:, k]) + np.searchsorted(column, bad[:, k], "right")).mean() / len(good) - 1)
+    below = np.cumsum(good, 1) - good
+    told = np.abs((bad * (2 * below + good)).sum(1) / bad.sum(1) / good.sum(1) - 1)
     return np.maximum(told, max(told.max(), 1e-9) / 5)
 
 
+def _features(batch: pa.RecordBatch, name: str = "features") -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def _bin_counts(table: DataFrame, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Good and bad rows by feature and bin: a bin for each edge and one between any two. All rows are counted."""
+    width = 2 * max(len(e) for e in edges) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(FEATURES) * width), np.int64)
+        for batch in batches:
+            x, bad = _features(batch), batch.column(0).to_numpy() == 0
+            for k, edge in enumerate(edges):
+                at = k * width + np.searchsorted(edge, x[:, k]) + np.searchsorted(edge, x[:, k], "right")
+                for kind, rows in enumerate((~bad, bad)):
+                    total[kind] += np.bincount(at[rows], minlength=total.shape[1])
+        at = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["at", "good", "bad"])
+
+    labelled = table.where("_quality in (0, 1)").select("_quality", "features")
+    found = labelled.mapInArrow(run, "at long, good long, bad long").groupBy("at").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    out = np.zeros((2, len(FEATURES) * width), np.int64)
+    for kind, name in enumerate(("good", "bad")):
+        out[kind, found["at"].to_numpy()] = found[name].to_numpy()
+    return tuple(out.reshape(2, len(FEATURES), width))
+
+
+def quantile(scores: DataFrame, q: float) -> float:
+    """The quantile of all rows of the column `score` (0 to 1), linear between two of them: counts by bin, then the values
+    of the bins that hold these two."""
+    binned = scores.select("score", F.least(F.floor(F.col("score") * 65536), F.lit(65535)).cast("int").alias("bin"))
+    count = binned.groupBy("bin").agg(F.count("*").alias("n")).toArrow().sort_by("bin")
+    ends, bins = np.cumsum(count["n"].to_numpy()), count["bin"].to_numpy()
+    place = (ends[-1] - 1) * q
+    low = int(place)
+    high = min(low + 1, int(ends[-1]) - 1)
+    first, last = (int(np.searchsorted(ends, r, "right")) for r in (low, high))
+    held = binned.where(F.col("bin").between(int(bins[first]), int(bins[last]))).groupBy("score").agg(F.count("*").alias("n")).toArrow().sort_by("score")
+    upto = np.cumsum(held["n"].to_numpy()) + (int(ends[first - 1]) if first else 0)
+    a, b = (float(held["score"][int(np.searchsorted(upto, r, "right"))].as_py()) for r in (low, high))
+    return a + (b - a) * (place - low)
+
+
 def _spread(x: np.ndarray, share: float, seed: int) -> np.ndarray:
     """Copies of the share of rows for each of RANGES, with a value of that range in place of their own."""
     rng, out = np.random.default_rng(seed), []
@@ -187,45 +229,66 @@ def _arrow_statistics(text: str, keep: list[str], forest: Forest | None, schema:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str = "doc_id", sample: int = 8192, good_kept: float = 0.999, bad_share: float = 0.03, seed: int = 7) -> Forest:
-    """Fits the forest and its limit on a bounded sample.
+def _passed(docs: DataFrame, labels: DataFrame | None, text: str, key: str, seed: int) -> DataFrame:
+    """Labelled documents (without labels: all) that pass the hard limits, one row of each key: _quality, features, and
+    _draw, a seeded number from 0 to 1. Texts aren't shuffled."""
+    rows = docs.select(F.col(key).alias("_key"), text)
+    kind, arrow = rows.dtypes[0][1], rows.select("_key").limit(0).toArrow().schema.field(0).type
+    schema = pa.schema([("_key", arrow), *((c, pa.int64()) for c in COUNTS), ("features", pa.list_(pa.float64()))])
+    ddl = f"_key {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
+    found = rows.where("_key is not null").mapInArrow(_arrow_statistics(text, ["_key"], None, schema), ddl)
+    if labels is None:
+        found = found.withColumn("_quality", F.lit(None).cast("long"))
+    else:
+        marks = labels.groupBy(F.col(key).alias("_label")).agg(F.min(F.col("quality").cast("long")).alias("_quality"))
+        found = found.join(marks, F.col("_key") == F.col("_label")).drop("_label")
+    # One row of each key, however often it occurs.
+    each = found.groupBy("_key").agg(F.min(F.struct("_quality", *COUNTS, "features")).alias("r")).select("_key", "r.*")
+    each = each.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_key"), 11) / F.lit(2.0**53)
+    return materialize(each.select("_quality", "features", draw.alias("_draw")))
+
 
-    `sample` (a documented bound on rows) labelled documents with the smallest seeded hashes of their key are fetched;
-    where fewer are labelled, all of them. Without labels the sample is of all documents. The trees grow on the sample's
-    rows that pass the hard limits, those labelled bad (quality 0) thinned to `bad_share` of the others, as a forest
-    isolates what is rare, and on half that share of rows with values from the whole range for each of RANGES. The limit on the score lies above that of the share `good_kept` of the rows labelled good
-    (without any, of all sampled rows), by a margin that is wider where labels are few, or a third of the way to most bad rows.
+def fit(docs: DataFrame, labels: DataFrame | None, text: str = "text", key: str = "doc_id", good_kept: float = 0.999, bad_share: float = 0.03, seed: int = 7, trees: int = 300, points: int = 128) -> Forest:
+    """Fits the forest and its limit on all labelled documents, without labels on all documents.
+
+    Weights of features and the limit are of all rows. Each tree grows on `points` rows, as the method has it: they are
+    drawn from trees * points rows (a tenth more, so that there are enough), in which every row has the same chance
+    by a seeded hash of its key; where there are fewer rows, from all. The rows are those that pass the hard limits; those
+    labelled bad (quality 0) are thinned to `bad_share` of the others, as a forest isolates what is rare, and half that
+    share of rows with values from the whole range for each of RANGES is added. The limit on the score lies above that of the share `good_kept` of the rows labelled good
+    (without any, of all rows), by a margin that is wider where labels are few, or a third of the way to most bad rows.
     """
-    marks = docs.select(F.col(key).alias("_key"), F.lit(None).cast("long").alias("_quality")) if labels is None else labels.select(F.col(key).alias("_key"), F.col("quality").cast("long").alias("_quality"))
-    # Keys are chosen before any text is read; at most `sample` rows are broadcast.
-    marks = marks.groupBy("_key").agg(F.min("_quality").alias("_quality")).orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(sample)
-    marks = docs.sparkSession.createDataFrame(marks.toArrow())
-    chosen = docs.select(key, text).join(F.broadcast(marks), F.col(key) == F.col("_key")).select("_key", text, "_quality")
-    kind, arrow = marks.dtypes[0][1], marks.limit(0).toArrow().schema.field(0).type
-    schema = pa.schema([("_key", arrow), ("_quality", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("features", pa.list_(pa.float64()))])
-    ddl = f"_key {kind}, _quality long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
-    found = chosen.mapInArrow(_arrow_statistics(text, ["_key", "_quality"], None, schema), ddl)
-    # One row of each key, however often it occurs.
-    table = found.groupBy("_key").agg(F.min(F.struct("_quality", *COUNTS, "features")).alias("r")).select("r.*").toArrow()
-    if not table.num_rows:
-        return fit_forest(np.zeros((0, len(FEATURES))))
-    x = np.array(table["features"].to_pylist())
-    counts = np.stack([table[c].to_numpy() for c in COUNTS], 1)
-    passed = ~base_failed(counts)
-    quality_ = table["_quality"].to_pandas().to_numpy(float, na_value=np.nan)
-    good, bad = passed & (quality_ == 1), np.flatnonzero(passed & (quality_ == 0))
-    bad = bad[np.lexsort(x[bad].T)]
-    few = np.random.default_rng(seed).permutation(bad)[: int(bad_share * (passed.sum() - len(bad))) + 1]
-    rows = np.concatenate((np.flatnonzero(passed & (quality_ != 0)), few))
-    grown = x[rows[np.lexsort(x[rows].T)]]
-    forest = fit_forest(np.concatenate((grown, _spread(grown, bad_share / 2, seed))), seed=seed, weight=_weights(x[good], x[bad]))
-    if not passed.any():
-        return forest
-    kept = forest.score(x[good if good.any() else passed])
-    top = float(np.quantile(kept, good_kept))
-    forest.limit = top + (0.01 if good.sum() >= 200 else 0.04)
-    if len(bad):
-        forest.limit = max(forest.limit, (2 * top + float(np.quantile(forest.score(x[bad]), 0.1))) / 3)
+    table = _passed(docs, labels, text, key, seed)
+    is_good, is_bad = F.col("_quality") == 1, F.col("_quality") == 0
+    number = table.agg(F.count("*"), F.count(F.when(is_good, 1)), F.count(F.when(is_bad, 1))).head()
+    n, n_good, n_bad = (int(x) for x in number)
+    if not n:
+        return fit_forest(np.zeros((0, len(FEATURES))), trees, points, seed)
+    most = 1.1 * trees * points
+    chance = F.when(is_bad, F.lit(most / max(n_bad, 1))).otherwise(F.lit(most / max(n - n_bad, 1)))
+    drawn = table.where(F.col("_draw") < chance).select("_quality", "features").toArrow()
+    x = drawn["features"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    quality_ = drawn["_quality"].to_pandas().to_numpy(float, na_value=np.nan)
+    others, bad = x[quality_ != 0], x[quality_ == 0]
+    bad = bad[np.lexsort(bad.T)]
+    few = bad[np.random.default_rng(seed).permutation(len(bad))[: int(bad_share * len(others)) + 1]]
+    grown = np.concatenate((others, few))
+    grown = grown[np.lexsort(grown.T)]
+    # Edges only set how fine the counts are.
+    good = x[quality_ == 1]
+    edges = [np.unique(np.quantile(good[:, k], np.linspace(0, 1, 4097), method="nearest") if len(good) > 4096 else good[:, k]) for k in range(len(FEATURES))]
+    weight = _weights(*_bin_counts(table, edges)) if n_good and n_bad else np.ones(len(FEATURES))
+    forest = fit_forest(np.concatenate((grown, _spread(grown, bad_share / 2, seed))), trees, points, seed, weight)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(_features(batch)))], names=["_quality", "score"])
+
+    scores = materialize(table.select("_quality", "features").mapInArrow(scored, "_quality long, score double"))
+    top = quantile(scores.where(is_good) if n_good else scores, good_kept)
+    limit = top + (0.01 if n_good >= 200 else 0.04)
+    forest.limit = max(limit, (2 * top + quantile(scores.where(is_bad), 0.1)) / 3) if n_bad else limit
     return forest
 
 

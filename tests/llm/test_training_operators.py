@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import common, compact_windows, components, jaccard, mixing, packing, quality, queries, secrets, suffix_dedup, suffix_tree, warc, winnowing
@@ -658,6 +659,39 @@ def test_forest_rejects_planted_junk_and_keeps_clean(spark):
     assert quality.apply_rules(docs.limit(0), quality.fit(docs.limit(0), None)).count() == 0
 
 
+def test_limit_and_weights_are_of_all_labelled_rows(spark):
+    # The rows with the largest hashes of their keys, which a sample of the smallest leaves out, score highest.
+    n = 9000
+    keys = spark.range(n).select(F.col("id").alias("doc_id"), F.xxhash64(F.lit(7), "id").alias("h"))
+    late = F.row_number().over(Window.orderBy("h")) > 8192
+    plain = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.conv(F.xxhash64("doc_id", k).bitwiseAND(F.lit(0xFFFFF)).cast("string"), 10, 36)), " ")
+    docs = keys.select("doc_id", F.when(late, F.regexp_replace(plain, " ", " #%& ")).otherwise(plain).alias("text"), late.alias("late"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    forest = quality.fit(docs.drop("late"), labels)
+    rows = quality.apply_rules(docs.drop("late"), forest).join(docs.select("doc_id", "late"), "doc_id").collect()
+    score = np.array([r.anomaly_score for r in rows])
+    assert sum(r.late for r in rows) == n - 8192 and not any(r.base_failed for r in rows)
+    assert forest.limit == pytest.approx(np.quantile(score, 0.999) + 0.01) and all(r.kept for r in rows if r.late and r.anomaly_score <= np.quantile(score, 0.999))
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.999, 1.0])
+def test_quantile_of_all_rows(spark, q):
+    rng = np.random.default_rng(5)
+    values = np.concatenate((rng.random(200), 0.5 + rng.random(50) * 1e-6, np.full(30, 0.25), [1.0]))
+    assert quality.quantile(spark.createDataFrame([(float(v),) for v in values], "score double"), q) == pytest.approx(np.quantile(values, q), abs=1e-15)
+
+
+def test_weights_equal_plain_shares_of_pairs(spark):
+    rng = np.random.default_rng(6)
+    x, kind = rng.integers(0, 9, (300, len(quality.FEATURES))) / 8, rng.integers(0, 2, 300)
+    x[kind == 0, 2] += 0.5
+    table = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(kind, x, strict=True)], "_quality long, features array<double>")
+    good, bad = x[kind == 1], x[kind == 0]
+    want = np.array([abs(sum(int(g < b) + int(g <= b) for g in good[:, k] for b in bad[:, k]) / len(good) / len(bad) - 1) for k in range(x.shape[1])])
+    got = quality._weights(*quality._bin_counts(table, [np.unique(good[:, k]) for k in range(x.shape[1])]))
+    assert got == pytest.approx(np.maximum(want, want.max() / 5))
+
+
 # --- suffix tree ------------------------------------------------------------------------------------------------
 
 
