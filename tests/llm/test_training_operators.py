@@ -772,6 +772,21 @@ def test_tree_equals_a_plain_one(gain):
     assert tree.score(np.frombuffer(b"".join(texts), np.uint8), offsets) == pytest.approx(want, rel=1e-4, abs=1e-9)
 
 
+def test_tree_keeps_all_candidates_of_texts_with_many_symbols(spark):
+    # Each context is followed by a symbol of its own, with a table of over 6,000,000 cells.
+    rng = np.random.default_rng(8)
+    used = np.setdiff1d(np.arange(1, 250), [32])
+    windows = rng.choice(used, (40_000, suffix_tree.DEPTH + 1)).astype(np.uint64)
+    packed = np.unique(sum(windows[:, k] << np.uint64(8 * k) for k in range(suffix_tree.DEPTH + 1)))
+    tree = suffix_tree.fit(spark.createDataFrame([(int(w), 4) for w in packed], "item long, n long"))
+    assert tree.move.size > 6_000_000
+    for w in packed[::4000]:
+        state = 0
+        for k in range(suffix_tree.DEPTH, 0, -1):
+            state = tree.move[state, tree.column[int(w) >> 8 * k & 255]]
+        assert 10 ** tree.logp[state, tree.column[int(w) & 255]] > 0.1
+
+
 def test_long_texts_score_in_stretches():
     rng = random.Random(5)
     train = "".join(rng.choice("abc ") for _ in range(3000)).encode()
