@@ -525,6 +525,76 @@ def test_near_passages_that_one_text_holds_several_times(spark):
     assert got == {(2 * k, 2 * k + 1) for k in range(40)}
 
 
+def _near_groups(sizes, seed, words=120, edits=3):
+    """Groups of texts with own beginnings and ends and one passage, each with its own edits; and the pairs of texts with
+    passages of 50 words with a similarity of 0.8 at one distance, by comparing all with all."""
+    rng = random.Random(seed)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], set()
+    for size in sizes:
+        passage, group = own(words), []
+        for _ in range(size):
+            mine = list(passage)
+            for k in rng.sample(range(words), rng.randint(0, edits)):
+                mine[k] = own(1)[0]
+            group.append(mine)
+        for i in range(size):
+            for j in range(i):
+                kept = np.array([x == y for x, y in zip(group[i], group[j], strict=True)])
+                grams = np.lib.stride_tricks.sliding_window_view(kept, 5).all(1)
+                common = np.lib.stride_tricks.sliding_window_view(grams, 46).sum(1)
+                if (100 * common >= 80 * (92 - common)).any():
+                    want.add((len(texts) + j, len(texts) + i))
+        texts += [own(rng.randint(0, 60)) + x + own(rng.randint(0, 60)) for x in group]
+    return [(k, " ".join(t)) for k, t in enumerate(texts)], want
+
+
+@pytest.mark.parametrize(("sizes", "edits"), [([2] * 20 + [6] * 10 + [20] * 4 + [60], 3), ([2] * 10 + [6] * 6 + [20] * 3 + [50], 6)])
+def test_near_passages_link_all_members_of_groups(spark, sizes, edits):
+    rows, want = _near_groups(sizes, 21, edits=edits)
+    found = compact_windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    texts = {k: t.split() for k, t in rows}
+    of, root = np.repeat(np.arange(len(sizes)), sizes), {k: k for k in texts}
+    for r in found.collect():
+        assert of[r.doc_id] == of[r.match_doc_id]
+        if r.kind == "class":
+            assert root[r.doc_id] == r.doc_id > r.match_doc_id
+            root[r.doc_id] = r.match_doc_id
+            continue
+        a, b = texts[r.doc_id][r.start_word : r.end_word], texts[r.match_doc_id][r.match_start_word : r.match_end_word]
+        assert min(len(a), len(b)) >= 50 and r.similarity >= 0.8 and (r.kind == "passage" or a == b)
+    exact = {(i, j) for i, j in want if _equal_run(texts[i], texts[j])}
+    assert exact and exact <= {tuple(r) for r in compact_windows.linked(found).collect()}
+    for size in set(sizes):
+        inside = [(i, j) for i, j in want if sizes[of[i]] == size]
+        assert sum(root[i] == root[j] for i, j in inside) >= 0.95 * len(inside), size
+
+
+def _equal_run(a, b, words=50):
+    return bool({tuple(a[i : i + words]) for i in range(len(a) - words + 1)} & {tuple(b[i : i + words]) for i in range(len(b) - words + 1)})
+
+
+def test_a_common_passage_makes_rows_in_proportion(spark):
+    rng = random.Random(22)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(80)
+    frame = spark.createDataFrame([(k, " ".join(own(30) + passage + own(30))) for k in range(300)], "doc_id long, text string")
+    found = compact_windows.near_passages(frame).cache()
+    assert found.count() <= 6 * 300
+    assert compact_windows.linked(found).count() == 300 * 299 // 2
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_equal_runs(a, b, least):
+    x, y = (common.mix(np.array(v, np.uint64) + np.uint64(1)) for v in (a, b))
+    got, covered = compact_windows.equal_runs(x, y, least), set()
+    for p, q, r, s in got:
+        assert q - p == s - r >= least and a[p:q] == b[r:s]
+        covered |= {tuple(a[k : k + least]) for k in range(p, q - least + 1)}
+    assert covered == {tuple(a[k : k + least]) for k in range(len(a) - least + 1)} & {tuple(b[k : k + least]) for k in range(len(b) - least + 1)}
+
+
 def test_intervals_keep_several_open_ranges(spark):
     box = lambda low, high: (low << 29) | high
     pairs = [(2, 1, box(10, 70), box(100, 160)), (2, 1, box(10, 70), box(900, 960)), (2, 1, box(11, 70), box(101, 160)), (2, 1, box(12, 72), box(901, 962)), (2, 1, box(80, 140), box(100, 160))]
