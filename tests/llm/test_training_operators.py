@@ -574,6 +574,15 @@ def _equal_run(a, b, words=50):
     return bool({tuple(a[i : i + words]) for i in range(len(a) - words + 1)} & {tuple(b[i : i + words]) for i in range(len(b) - words + 1)})
 
 
+def test_passages_that_start_within_joined_runs():
+    a = np.arange(71, dtype=np.uint64)
+    b = a.copy()
+    b[20:25] += np.uint64(1000)
+    b[45:50] += np.uint64(1000)  # the first two runs join, with 45 places; the last two have 46 and 41 of 51 in common
+    assert compact_windows.passages(a, b, 46, 80) == [(25, 71, 25, 71, pytest.approx(41 / 51))]
+    assert compact_windows.passages(a[:70], b[:70], 46, 80) == []
+
+
 def test_a_common_passage_makes_rows_in_proportion(spark):
     rng = random.Random(22)
     own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
