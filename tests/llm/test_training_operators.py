@@ -2,13 +2,17 @@
 tables, extra columns."""
 
 import collections
+import ctypes
 import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -612,6 +616,46 @@ def test_intervals_keep_several_open_ranges(spark):
     assert got == [(2, 1, 10, 70, 100, 160), (2, 1, 10, 72, 900, 962), (2, 1, 80, 140, 100, 160)]
 
 
+class Mapped:
+    """Takes the place of a frame: keeps the function that an operator maps over Arrow batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_joint_windows_take_little_memory_and_hand_it_back(monkeypatch):
+    rng, trimmed = np.random.default_rng(5), []
+    texts = [" ".join(map(str, rng.integers(0, 5000, 400))) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.arange(len(texts)))], names=["_text", "tid"])
+    run = compact_windows._joint(Mapped(), 5, 50, 4, 2)
+    whole = list(run(iter([batch.slice(0, 40)])))  # powers of the rolling hash stay
+    monkeypatch.setattr(ctypes, "CDLL", lambda _: types.SimpleNamespace(malloc_trim=trimmed.append))
+    tracemalloc.start()
+    try:
+        got = list(run(iter([batch.slice(k, 200) for k in (0, 200)])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 700_000 and peak < 12 << 20, peak
+    assert trimmed == [0]
+    rows = [sorted(r for x in xs for r in zip(*(c.to_pylist() for c in x.columns), strict=True) if r[1] < 40) for xs in (whole, got)]
+    assert rows[0] and rows[0] == rows[1]
+
+
+def test_shared_joint_windows_are_sorted_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [tuple(map(int, r)) for r in rng.integers([-20, 0, 0], [20, 6, 4], (300, 3))] + [(99, 5, k) for k in range(4)] + [(None, 1, 1)]
+    got = compact_windows._shared(spark.createDataFrame(rows, "key long, tid long, at long"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    texts = collections.defaultdict(set)
+    for k, t, _ in rows:
+        texts[k].add(t)
+    assert sorted(map(tuple, got.collect())) == sorted({r for r in rows if len(texts[r[0]]) > 1})
+
+
 # --- WARC -------------------------------------------------------------------------------------------------------
 
 
