@@ -23,3 +23,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_texts_without_words(spark, tmp_path):
+    rows = [(0, "two words"), (1, "... !"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.words, r["last"]) for r in registry.QUERIES["sc16_words"](spark, str(tmp_path)).collect()}
+    assert found == {0: (2, "words"), 1: (0, None), 2: (0, None), 3: (None, None)}
