@@ -6,15 +6,18 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.config import Thresholds
 from lodestone.functions import exprs as X
 from lodestone.functions.text import text_metrics
 from lodestone.operators import eda, leakage, media, profile, stats
+from lodestone.plans import registry
 from lodestone.sources import readers
 
 
@@ -210,3 +213,39 @@ def test_text_metrics_of_odd_texts_against_plain_loops():
             "complex_word_ratio": sum(x >= 3 for x in spoken) / n, "flesch_kincaid_grade": 0.39 * len(w) / max(len(s), 1) + 11.8 * sum(spoken) / len(w) - 15.59 if w else 0,
         }
         assert {k: m[k] for k in want} == pytest.approx(want), repr(t)
+
+
+class Caught:
+    """A frame that hands out what would run on its batches."""
+
+    columns = ["doc_id", "_t", "_label"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("_t", T.StringType()), T.StructField("_label", T.StringType())])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+    mapInPandas = mapInArrow
+
+
+def test_files_are_decoded_in_small_steps(spark):
+    raw = io.BytesIO()
+    with wave.open(raw, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(bytes(16000))
+    n = 1500
+    batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(n)], "content": [raw.getvalue() if k % 2 else b"" for k in range(n)]})
+    for query in (media.audio_files, media.video_info):
+        out = list(query(Caught())(iter([batch])))
+        assert sum(x.num_rows for x in out) == n and len(out) >= 3
+    waves = registry._waves.__globals__
+    held, waves["T"] = waves["T"], lambda s, d, name: Caught()
+    try:
+        out = list(registry._waves(None, "")(iter([pd.DataFrame({"vec_id": range(n), "embedding": [[0.5] * 8] * n})])))
+    finally:
+        waves["T"] = held
+    assert sum(map(len, out)) == n and max(map(len, out)) <= 256
