@@ -249,3 +249,17 @@ def test_files_are_decoded_in_small_steps(spark):
     finally:
         waves["T"] = held
     assert sum(map(len, out)) == n and max(map(len, out)) <= 256
+
+
+def test_quartiles_of_many_values_are_exact_and_not_gathered(spark):
+    rng = np.random.default_rng(3)
+    n = 60_001
+    columns = {"even": np.arange(n) / 7, "tailed": np.exp(3 * rng.standard_normal(n)), "tied": rng.integers(0, 3, n) * 1.0, "signed": np.round(rng.standard_normal(n), 2) + 0.0, "few": np.where(np.arange(n) < 10, np.arange(n) * 1.5, np.nan)}
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(7)
+    out = stats.summaries(df, list(columns), 0.0)
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.column_name: (r["count"], r.p25, r.median, r.p75) for r in out.collect()}
+    for name, x in columns.items():
+        x = x[~np.isnan(x)]
+        assert found[name][0] == len(x)
+        assert found[name][1:] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75]).tolist(), rel=1e-12)
