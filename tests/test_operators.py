@@ -263,3 +263,18 @@ def test_quartiles_of_many_values_are_exact_and_not_gathered(spark):
         x = x[~np.isnan(x)]
         assert found[name][0] == len(x)
         assert found[name][1:] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+
+
+def test_texts_are_measured_in_small_steps(spark, monkeypatch):
+    from lodestone.functions import text as TX
+
+    monkeypatch.setattr(TX, "_spread", lambda df: df)
+    texts = [None if k == 5 else "" if k == 6 else f"{k} some wörds again again.\n" * 40 for k in range(1000)] + ["x " * TX.STEP, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.nulls(len(texts), pa.string())], names=Caught.columns)
+    out = pa.Table.from_batches(list(TX.text_metrics(Caught(), "text", keep=("doc_id",))(iter([batch]))))
+    assert len(out.column(0).chunks) >= 5 and out.column("doc_id").to_pylist() == list(range(len(texts)))
+    assert out.column("text_missing").to_pylist() == [t is None for t in texts]
+    values = TX.measure([t or "" for t in texts])
+    for k, name in enumerate(TX.METRICS):
+        expected = [None if t is None else v for t, v in zip(texts, values[:, k].tolist(), strict=True)]
+        assert out.column(name).to_pylist() == pytest.approx(expected)
