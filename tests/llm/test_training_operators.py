@@ -1004,3 +1004,15 @@ def test_query_equals_sql(spark, name):
 def test_held_out_scores_beat_the_base(spark):
     got = queries.op10_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).head()
     assert got[0] > got[1] - 0.1 * got[2]
+
+
+def test_copies_in_other_tasks_bring_no_joint_windows(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(40)]
+    rows = spark.createDataFrame([(c * 1000 + k, t) for c in range(8) for k, t in enumerate(texts)], "doc long, _text string").repartition(8, "doc")
+    rows = rows.select("*", F.xxhash64("_text").alias("tid"))
+    first = rows.groupBy("tid").agg(F.min("doc").alias("doc"))
+    once = compact_windows._joint(rows.where("doc < 1000"), 5, 50, 4, 2).count()
+    assert once <= compact_windows._joint(rows, 5, 50, 4, 2, first).count() < 1.5 * once
+    found = compact_windows.near_passages(rows.select(F.col("doc").alias("doc_id"), F.col("_text").alias("text")))
+    assert found.where("kind = 'copy'").count() == 7 * 40 and found.where("kind <> 'copy'").count() == 0
